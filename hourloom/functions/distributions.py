@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Coefficients of Wichura's published rational approximation (algorithm AS 241).
 CENTRAL_NUM = [
@@ -99,7 +100,7 @@ def t_two_sided(stat: float, df: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_udf(stat: pd.Series, df: pd.Series) -> pd.Series:
     """Column form, meant for result tables with one row per test."""
     return pd.Series([t_two_sided(s, d) for s, d in zip(stat, df)], dtype="float64")
