@@ -7,9 +7,10 @@ between engines to the last bit. The SQL strings are common table expressions fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourloom.functions.timecols import from_hour_index
 from hourloom.operators.grid import HOUR, hourly_long, hourly_wide, pivot_mean
 from hourloom.sources.stations import standardise_station
 
@@ -68,12 +69,24 @@ def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hour_ts() -> F.Column:
-    from hourloom.functions.timecols import from_hour_index
-
+def hour_ts() -> Column:
     return from_hour_index(HOUR).alias("ts")
 
 
+def steady(value: Column | str, places: int = 6) -> Column:
+    """Round for comparison between engines.
+
+    Sums taken in another order differ in the last digits, and means of decimal readings often end
+    in an exact 5 at the cut. Shifting by a sliver first sends both engines the same way.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value + F.lit(10.0 ** -(places + 4)), places)
+
+
+def steady_sql(expr: str, places: int = 6) -> str:
+    return f"round({expr} + {10.0 ** -(places + 4):.{places + 4}f}::DOUBLE, {places})"
+
+
 # --- the same roles as SQL -----------------------------------------------------------------------------
 
 
@@ -136,4 +149,5 @@ def roll_sql(
     first = hours if lagged else hours - 1
     frame = f"OVER ({by} ORDER BY h ROWS BETWEEN {first} PRECEDING AND {last})"
     function = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}[how]
-    return f"round(CASE WHEN count({column}) {frame} >= {minimum} THEN {function}({column}) {frame} END, {places}) AS {name}"
+    value = f"CASE WHEN count({column}) {frame} >= {minimum} THEN {function}({column}) {frame} END"
+    return f"{steady_sql(value, places)} AS {name}"

@@ -18,7 +18,7 @@ from hourloom.operators import distribution, profile
 from hourloom.operators.windows import add_features, rolling
 from hourloom.plans import reports
 from hourloom.queries import inputs, query
-from hourloom.queries.inputs import MEAS, ORDERS, SERIES, WIDE, hour_ts, mean_sql, roll_sql
+from hourloom.queries.inputs import MEAS, ORDERS, SERIES, WIDE, hour_ts, mean_sql, roll_sql, steady
 from hourloom.settings import GUIDELINES
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -172,7 +172,7 @@ def exceedance_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = add_features(inputs.series(spark, sf_dir), [day], ["parameter"])
     limit = F.when(F.col("parameter") == "pm10", GUIDELINES["pm10"]["daily"]).otherwise(GUIDELINES["pm25"]["daily"])
     return means.groupBy("parameter").agg(
-        F.count("m").alias("n_windows"), F.count_if(F.round("m", 6) > limit).alias("n_exceeding")
+        F.count("m").alias("n_windows"), F.count_if(steady("m") > limit).alias("n_exceeding")
     )
 
 
