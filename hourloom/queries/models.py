@@ -1,0 +1,138 @@
+"""Model queries. Sizes are small enough for a check run; the defaults in plans.models are the full ones."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hourloom.operators.grid import HOUR
+from hourloom.operators.profile import group_sizes
+from hourloom.operators.windows import add_features, lead
+from hourloom.plans import features as sets
+from hourloom.plans import models
+from hourloom.plans.evaluation import chronological_rank, is_train, regression_metrics
+from hourloom.plans.reports import horizon_comparison as compare_horizons
+from hourloom.queries import inputs, query
+from hourloom.queries.features import rich_wide
+from hourloom.queries.inputs import WIDE, steady, steady_sql
+from hourloom.settings import HORIZONS
+
+TREES = {"trees": 10, "rounds": 5, "maxDepth": 6}
+
+
+def next_hour_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    wanted = sets.next_hour_features("pm25", "pm10")
+    table = add_features(inputs.wide(spark, sf_dir), [*wanted, lead("y", "pm25", 1)], keep=[HOUR, "pm25"])
+    # the current value is known whenever its change is, so complete cases imply it
+    return table, [f.name for f in wanted]
+
+
+def next_hour_run(spark: SparkSession, sf_dir: str, regressors: list, n_splits: int = 0) -> models.NextHourRun:
+    table, columns = next_hour_table(spark, sf_dir)
+    return models.next_hour_experiment(table, columns, "pm25", regressors, n_splits=n_splits)
+
+
+@query()
+def fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_hour_run(spark, sf_dir, [models.ols(), models.ridge(), models.lasso()]).results
+
+
+@query()
+def fit_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_hour_run(spark, sf_dir, [models.forest(numTrees=10, maxDepth=8)]).results
+
+
+@query()
+def fit_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_hour_run(spark, sf_dir, [models.boosting(maxIter=10)]).results
+
+
+# With one standardised feature all three linear models have closed forms in plain aggregates.
+ONE_FEATURE = f"""{WIDE}, f AS (SELECT h, pm25 AS x, lead(pm25, 1) OVER (ORDER BY h) AS y FROM wide),
+p AS (SELECT * FROM f WHERE y IS NOT NULL AND x IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY h) - 1 AS seq, count(*) OVER () AS n FROM p),
+s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n_train FROM r WHERE seq < floor(n * 0.8)),
+c AS (SELECT sum((x - mx) / sx * (y - my)) AS zy FROM r, s WHERE seq < floor(n * 0.8)),
+w AS (SELECT 'Linear Regression' AS model, zy / n_train AS w FROM c, s
+  UNION ALL SELECT 'Ridge Regression', zy / (n_train + 1.0) FROM c, s
+  UNION ALL SELECT 'Lasso Regression', sign(zy) * greatest(abs(zy / n_train) - 0.1, 0) FROM c, s),
+e AS (SELECT model, r.y - (my + w * (x - mx) / sx) AS e FROM r, s, w WHERE seq >= floor(n * 0.8))"""
+
+
+@query(f"WITH {ONE_FEATURE} SELECT model, count(*) AS n_test, {steady_sql('sqrt(avg(e * e))', 4)} AS rmse FROM e GROUP BY model")
+def linear_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalty mapping of the linear models, checked where a closed form exists."""
+    table = add_features(inputs.wide(spark, sf_dir), [lead("y", "pm25", 1)], keep=[HOUR, "pm25"])
+    ranked = chronological_rank(table.na.drop(subset=["y", "pm25"])).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = ranked.where(is_train()), ranked.where(~is_train())
+    fitted = [models.fit(m, train, ["pm25"]) for m in (models.ols(), models.ridge(), models.lasso())]
+    scored = models.score_long(models.predict_all(fitted, test), {m.name: m.pred for m in fitted})
+    return regression_metrics(scored, ["model"]).select("model", "n_test", steady("rmse", 4).alias("rmse"))
+
+
+@query()
+def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = next_hour_run(spark, sf_dir, [models.forest(numTrees=10, maxDepth=8), models.boosting(maxIter=5)])
+    tops = [models.top_features(m.importances(spark), 10) for m in run.fitted]
+    return reduce(DataFrame.unionByName, tops)
+
+
+@query()
+def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five models with expanding-window cross-validation and the persistence row."""
+    return next_hour_run(spark, sf_dir, models.next_hour_models(**TREES), n_splits=3).results
+
+
+@query()
+def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = next_hour_run(spark, sf_dir, [models.ols(), models.ridge(), models.lasso()]).results
+    return models.best_model(results)
+
+
+def multi_source_table(spark: SparkSession, sf_dir: str, target: str) -> tuple[DataFrame, list]:
+    grid = rich_wide(spark, sf_dir)
+    wanted = sets.multi_source_features(target, grid.columns)
+    table = sets.feature_table(grid, [*wanted, *sets.horizon_targets(target)], required=["target_1h"])
+    return table.persist(StorageLevel.MEMORY_AND_DISK), wanted
+
+
+def horizon_rows(spark: SparkSession, sf_dir: str, regressors: list, pollutants: list[str]) -> DataFrame:
+    """Metrics of every pollutant, horizon and model."""
+    tables = []
+    for pollutant in pollutants:
+        table, wanted = multi_source_table(spark, sf_dir, pollutant)
+        for h in HORIZONS:
+            run = models.horizon_experiment(
+                table, sets.names_of(wanted), f"target_{h}h", f"{pollutant}_lag_1", regressors
+            )
+            tables.append(
+                run.metrics.select(F.lit(pollutant).alias("pollutant"), F.lit(f"{h}h").alias("horizon"), "*")
+            )
+    return reduce(DataFrame.unionByName, tables)
+
+
+@query()
+def horizon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regressors = models.horizon_models(trees=5, rounds=3, maxDepth=5)
+    return horizon_rows(spark, sf_dir, regressors, ["pm25", "pm10"])
+
+
+@query()
+def horizon_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = horizon_rows(spark, sf_dir, [models.boosting(subsample=0.8, maxIter=3)], ["pm25"])
+    return compare_horizons(rows)
+
+
+@query()
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, wanted = multi_source_table(spark, sf_dir, "pm25")
+    return models.ablation(table, sets.ablation_sets(wanted), "target_1h", models.boosting(maxIter=3))
+
+
+@query()
+def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = sets.multi_source_features("pm25", rich_wide(spark, sf_dir).columns)
+    return group_sizes(sets.by_group(wanted), spark)

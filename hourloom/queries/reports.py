@@ -1,0 +1,37 @@
+"""Plot-ready tables about model errors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hourloom.plans import models, reports
+from hourloom.queries import query
+from hourloom.queries.models import next_hour_run
+
+
+def best_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals of the linear model with the lowest test error."""
+    run = next_hour_run(spark, sf_dir, [models.ols(), models.ridge(), models.lasso()])
+    best = models.best_model(run.results).first()["model"]
+    column = next(m.pred for m in run.fitted if m.name == best)
+    return reports.residuals(run.predictions, column)
+
+
+@query()
+def residual_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_residuals(spark, sf_dir)
+
+
+@query()
+def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.residual_histogram(best_residuals(spark, sf_dir), 50)
+
+
+@query()
+def residual_qq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.residual_qq(best_residuals(spark, sf_dir))
+
+
+@query()
+def predicted_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.predicted_vs_actual(best_residuals(spark, sf_dir))
