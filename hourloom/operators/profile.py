@@ -226,6 +226,14 @@ def completeness(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     return df.groupBy(*keys).agg(F.array(*cells).alias("cells")).select(*keys, F.inline("cells"))
 
 
-def group_sizes(groups: dict[str, Sequence[str]], spark) -> DataFrame:
-    """Number of feature columns per group."""
-    return spark.createDataFrame([(g, len(c)) for g, c in groups.items()], "feature_group string, n_features int")
+def group_completeness(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Number of columns per feature group and their mean present percentage, in one pass."""
+    cells = [
+        F.struct(F.lit(g).alias("feature_group"), share_present(c).alias("p"))
+        for g, columns in groups.items()
+        for c in columns
+    ]
+    rows = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return rows.groupBy("feature_group").agg(
+        F.count(F.lit(1)).alias("n_features"), F.avg("p").alias("mean_pct_present")
+    )

@@ -85,9 +85,9 @@ def difference(name: str, source: str, hours: int, lagged: bool, group: str = "r
     )
 
 
-def local(name: str, expression: Column, group: str = "time") -> Feature:
-    """A feature of the current row only."""
-    return Feature(name, lambda w: expression, group=group)
+def local(name: str, expression: Callable[[], Column], group: str = "time") -> Feature:
+    """A feature of the current row only. The expression is built on use, so sets need no session."""
+    return Feature(name, lambda w: expression(), group=group)
 
 
 def of_lag(

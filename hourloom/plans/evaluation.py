@@ -14,6 +14,7 @@ from hourloom.operators.grid import HOUR
 from hourloom.operators.ranks import distributed_rank, exact_quantiles
 
 EPS = 2.220446049250313e-16  # fixed value: double machine epsilon
+SMALL_TRAIN_ROWS = 50_000
 
 
 def chronological_rank(
@@ -60,9 +61,16 @@ class MedianImputer:
     dropped: tuple[str, ...] = ()
 
     @classmethod
-    def fit(cls, train: DataFrame, columns: Sequence[str]) -> MedianImputer:
-        rows = exact_quantiles(train, columns, [0.5]).select("column", "quantile").collect()  # one per column
-        medians = {r["column"]: r["quantile"] for r in rows}
+    def fit(cls, train: DataFrame, columns: Sequence[str], small: int = SMALL_TRAIN_ROWS) -> MedianImputer:
+        """Both ways are exact. The one-pass aggregate keeps all distinct values in one buffer, so it is
+        used only after a check that the table is small."""
+        if train.limit(small + 1).count() <= small:
+            number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+            row = train.agg(*[F.percentile(number[c], 0.5).alias(c) for c in columns]).first()
+            medians = {c: m for c, m in row.asDict().items() if m is not None}
+        else:
+            rows = exact_quantiles(train, columns, [0.5]).select("column", "quantile").collect()  # one per column
+            medians = {r["column"]: r["quantile"] for r in rows}
         return cls({c: medians[c] for c in columns if c in medians}, tuple(c for c in columns if c not in medians))
 
     @property

@@ -6,7 +6,7 @@ group and not by name. add_features turns the list into one projection over one
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +39,15 @@ def add_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumns(calendar_columns(ts))
 
 
-def _cycle(name: str, value: Column, period: int) -> list[Feature]:
-    sine, cosine = cyclical(value, period)
-    return [local(f"{name}_sin", sine), local(f"{name}_cos", cosine)]
+def _cycle(name: str, value: Callable[[], Column], period: int) -> list[Feature]:
+    return [
+        local(f"{name}_sin", lambda: cyclical(value(), period)[0]),
+        local(f"{name}_cos", lambda: cyclical(value(), period)[1]),
+    ]
+
+
+def _clock(zone: str | None, part: Callable[[Column], Column]) -> Callable[[], Column]:
+    return lambda: part(wall_clock(zone))
 
 
 def exogenous_block(other: str, lags: Sequence[int], window: int = 24, min_count: int = 12) -> list[Feature]:
@@ -55,15 +61,15 @@ def next_hour_features(
     target: str, companion: str | None = None, companion_lags: Sequence[int] = (1, 24), zone: str | None = None
 ) -> list[Feature]:
     """The one-hour-ahead feature set: calendar, lags, rolling statistics, changes, companion series."""
-    now = wall_clock(zone)
+    hour, month = _clock(zone, F.hour), _clock(zone, F.month)
     features = [
-        local("hour", F.hour(now)),
-        local("day_of_week", F.weekday(now)),
-        local("month", F.month(now)),
-        local("year", F.year(now)),
-        local("day_of_year", F.dayofyear(now)),
-        *_cycle("hour", F.hour(now), 24),
-        *_cycle("month", F.month(now), 12),
+        local("hour", hour),
+        local("day_of_week", _clock(zone, F.weekday)),
+        local("month", month),
+        local("year", _clock(zone, F.year)),
+        local("day_of_year", _clock(zone, F.dayofyear)),
+        *_cycle("hour", hour, 24),
+        *_cycle("month", month, 12),
     ]
     features += [lag(f"{target}_lag_{k}", target, k) for k in TARGET_LAGS]
     for how in ("mean", "std", "min", "max"):
@@ -78,30 +84,29 @@ def next_hour_features(
 
 def multi_source_features(target: str, columns: Sequence[str], zone: str | None = None) -> list[Feature]:
     """The multi-source feature set; blocks adapt to the columns the wide table has."""
-    now = wall_clock(zone)
     have = set(columns)
     features = [lag(f"{target}_lag_{k}", target, k) for k in TARGET_LAGS]
     for window in (6, 24, 168):
         for how in ("mean", "std", "max"):
             features.append(rolling(f"{target}_roll_{how}_{window}", target, how, window))
     features += [difference(f"{target}_diff_{k}", target, k, lagged=True) for k in (1, 24)]
-    features += _cycle("hour", F.hour(now), 24)
-    features += _cycle("month", F.month(now), 12)
-    features += _cycle("dow", F.weekday(now), 7)
-    features.append(local("day_of_year", F.dayofyear(now)))
-    features.append(local("heating_season", flag(in_months(now, HEATING_MONTHS))))
-    features.append(local("is_winter", flag(in_months(now, WINTER_MONTHS))))
-    features += reanalysis_features(have, now)
+    features += _cycle("hour", _clock(zone, F.hour), 24)
+    features += _cycle("month", _clock(zone, F.month), 12)
+    features += _cycle("dow", _clock(zone, F.weekday), 7)
+    features.append(local("day_of_year", _clock(zone, F.dayofyear)))
+    features.append(local("heating_season", _clock(zone, lambda t: flag(in_months(t, HEATING_MONTHS)))))
+    features.append(local("is_winter", _clock(zone, lambda t: flag(in_months(t, WINTER_MONTHS)))))
+    features += reanalysis_features(have, zone)
     features += station_features(sorted(c for c in columns if c.startswith("ms_")), have)
     return features
 
 
-def reanalysis_features(have: set[str], now: Column) -> list[Feature]:
+def reanalysis_features(have: set[str], zone: str | None = None) -> list[Feature]:
     group = "reanalysis"
     out: list[Feature] = []
     if {"wind_spd", "wind_dir"} <= have:
-        u, v = wind_vector(F.col("wind_spd"), F.col("wind_dir"))
-        out += [local("wind_u", u, group), local("wind_v", v, group)]
+        for i, name in enumerate(("wind_u", "wind_v")):
+            out.append(local(name, lambda i=i: wind_vector(F.col("wind_spd"), F.col("wind_dir"))[i], group))
     for k in WEATHER_LAGS:
         out += [lag(f"{c}_lag_{k}", c, k, group) for c in ("temp", "wind_spd", "humidity") if c in have]
     for window in (6, 24):
@@ -114,7 +119,9 @@ def reanalysis_features(have: set[str], now: Column) -> list[Feature]:
         out.append(of_lag("blh_log", ["blh"], F.log1p, group))
         out += [lag(f"blh_lag_{k}", "blh", k, group) for k in (1, 24)]
     if {"temp", "wind_spd"} <= have:
-        out.append(of_lag("inversion_flag", ["temp", "wind_spd"], lambda t, w: inversion_flag(t, w, now), group))
+        out.append(
+            of_lag("inversion_flag", ["temp", "wind_spd"], lambda t, w: inversion_flag(t, w, wall_clock(zone)), group)
+        )
         out.append(of_lag("temp_x_wind", ["temp", "wind_spd"], lambda t, w: t * w, group))
     if "wind_spd" in have:
         out.append(of_lag("calm_flag", ["wind_spd"], calm_flag, group))

@@ -201,6 +201,11 @@ class NextHourRun:
     results: DataFrame
     cv_scores: dict[str, list[float]] = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Drop the cached train and test rows once predictions and results are written."""
+        self.train.unpersist()
+        self.test.unpersist()
+
 
 def next_hour_experiment(
     table: DataFrame,
@@ -259,7 +264,7 @@ def top_features(importances: DataFrame, k: int = 10) -> DataFrame:
 @dataclass
 class HorizonRun:
     metrics: DataFrame
-    comparison: DataFrame
+    comparison: DataFrame | None
     fitted: list[Fitted]
 
 
@@ -271,7 +276,11 @@ def horizon_experiment(
     models: Sequence[Regressor],
     test_size: float = 0.2,
 ) -> HorizonRun:
-    """One horizon: median imputation, lag-1 baseline, models, metrics and the DM comparison."""
+    """One horizon: median imputation, lag-1 baseline, models, metrics and the DM comparison.
+
+    The score tables have one row per model; they are fetched before the cached rows are dropped,
+    so a run over many horizons holds one horizon's rows at a time.
+    """
     ranked = chronological_rank(
         table.withColumn("y", F.col(target)).na.drop(subset=["y"]).select(HOUR, *columns, "y")
     ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -288,12 +297,20 @@ def horizon_experiment(
     names = {"Naive baseline": "baseline", **{m.name: m.pred for m in fitted}}
     metrics = rounded(regression_metrics(score_long(scored, names), ["model"], mape_above=1.0))
     preds = {m.name: m.pred for m in fitted}
+    metrics = _small_table(metrics)
     comparison = None
     if {"Gradient Boosting", "Random Forest"} <= set(preds):
-        comparison = dm_test(scored, preds["Gradient Boosting"], preds["Random Forest"])
+        comparison = _small_table(dm_test(scored, preds["Gradient Boosting"], preds["Random Forest"]))
+    train.unpersist()
+    ranked.unpersist()
     return HorizonRun(metrics, comparison, fitted)
 
 
+def _small_table(df: DataFrame) -> DataFrame:
+    """Evaluate a score table of a few rows now."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def ablation(
     table: DataFrame,
     sets: Sequence[tuple[str, Sequence[str]]],
@@ -318,6 +335,8 @@ def ablation(
         model = fit(regressor, train, usable)
         rmse = regression_metrics(model.predict(test).withColumnRenamed(model.pred, "pred")).first()["rmse"]
         rows.append((position, label, len(usable), float(rmse)))
+    filled.unpersist()
+    ranked.unpersist()
     result = table.sparkSession.createDataFrame(
         rows, "step int, configuration string, n_features int, rmse double"
     )

@@ -211,6 +211,9 @@ FULL_WIDE = f"""{WIDE}, rich AS (SELECT h, pm25, pm10, temp - 20 AS temp, wind_s
   pm25 * 10 AS blh, humidity / 4 AS precip, pm10 / 2 AS no2, temp / 8 AS aod, wind_spd / 2 AS dust FROM wide)"""
 
 
+RICH_COLUMNS = ["pm25", "pm10", "temp", "wind_spd", "humidity", "wind_dir", "blh", "precip", "no2", "aod", "dust"]
+
+
 def rich_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.wide(spark, sf_dir).select(
         HOUR, "pm25", "pm10", (F.col("temp") - 20).alias("temp"), (F.col("wind_spd") / 10).alias("wind_spd"),
@@ -222,8 +225,7 @@ def rich_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FULL_WIDE} SELECT h AS ts, {', '.join(_weather_sql() + _extra_sql())} FROM rich")
 def weather_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = rich_wide(spark, sf_dir)
-    now = sets.wall_clock(None)
-    return on_wide(grid, sets.reanalysis_features(set(grid.columns), now))
+    return on_wide(grid, sets.reanalysis_features(set(grid.columns)))
 
 
 STATION_COLUMNS = ["ms_humidity", "ms_temp", "ms_wind_spd"]
@@ -288,7 +290,10 @@ def _multi_source_sql() -> str:
     return f"WITH {FULL_WIDE}, f AS (SELECT h AS ts, {', '.join(columns)} FROM rich) SELECT * FROM f WHERE target_1h IS NOT NULL"
 
 
-@query(_multi_source_sql())
+MULTI_SOURCE_SQL = _multi_source_sql()
+
+
+@query(MULTI_SOURCE_SQL)
 def feature_set_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = rich_wide(spark, sf_dir)
     wanted = sets.multi_source_features("pm25", grid.columns)

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.operators.grid import HOUR
-from hourloom.operators.profile import group_sizes
+from hourloom.operators.profile import group_completeness
 from hourloom.operators.windows import add_features, lead
 from hourloom.plans import features as sets
 from hourloom.plans import models
 from hourloom.plans.evaluation import chronological_rank, is_train, regression_metrics
 from hourloom.plans.reports import horizon_comparison as compare_horizons
 from hourloom.queries import inputs, query
-from hourloom.queries.features import rich_wide
+from hourloom.queries.features import MULTI_SOURCE_SQL, RICH_COLUMNS, rich_wide
 from hourloom.queries.inputs import WIDE, steady, steady_sql
 from hourloom.settings import HORIZONS
 
@@ -132,7 +132,20 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.ablation(table, sets.ablation_sets(wanted), "target_1h", models.boosting(maxIter=3))
 
 
-@query()
+def _groups_sql() -> str:
+    wanted = sets.multi_source_features("pm25", RICH_COLUMNS)
+    cells = " UNION ALL ".join(
+        f"SELECT '{f.group}' AS feature_group, 100.0 * CAST(count({f.name}) AS DOUBLE) / count(*) AS p FROM t" for f in wanted
+    )
+    return f"""WITH t AS ({MULTI_SOURCE_SQL}), c AS ({cells})
+SELECT feature_group, count(*) AS n_features, {steady_sql('avg(p)')} AS mean_pct_present FROM c GROUP BY feature_group"""
+
+
+@query(_groups_sql())
 def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = sets.multi_source_features("pm25", rich_wide(spark, sf_dir).columns)
-    return group_sizes(sets.by_group(wanted), spark)
+    """Columns per feature group and how complete they are."""
+    grid = rich_wide(spark, sf_dir)
+    wanted = sets.multi_source_features("pm25", grid.columns)
+    table = sets.feature_table(grid, [*wanted, *sets.horizon_targets("pm25", [1])], required=["target_1h"])
+    present = group_completeness(table, sets.by_group(wanted))
+    return present.withColumn("mean_pct_present", steady("mean_pct_present"))
