@@ -31,12 +31,17 @@ def floor_div(value: Column, step: int) -> Column:
 
 
 def epoch_micros(ts: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", epoch(), _col(ts))
+    """Microseconds since the epoch from date and clock parts, which need no zone."""
+    ts = _col(ts)
+    minutes = F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    seconds = F.extract(F.lit("SECOND"), ts)
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
 def hour_index(ts: Column | str) -> Column:
     """Whole hours since the epoch; consecutive hours differ by one."""
-    return floor_div(epoch_micros(ts), HOUR_US)
+    ts = _col(ts)
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)
 
 
 def from_hour_index(index: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.functions.numeric import mean, share_missing, share_present
+from hourloom.functions.timecols import epoch_micros
 from hourloom.operators.clean import median_gap
 from hourloom.operators.grid import dense_profile
 from hourloom.operators.ranks import exact_quantiles, quantile_columns
@@ -122,7 +123,7 @@ def series_audit(
         F.max(ts).alias("last_ts"),
         *shares,
     )
-    span_us = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts"))
+    span_us = epoch_micros("last_ts") - epoch_micros("first_ts")
     audit = base.withColumn("span_days", span_us / F.lit(86_400e6))
     audit = audit.withColumns({f"{c}_status": missing_status(F.col(f"{c}_missing_pct")) for c in columns})
     duplicates = duplicate_timestamps(df, ts, keys)

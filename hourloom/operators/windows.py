@@ -131,9 +131,10 @@ def add_features(
         homes.append(F.when(offset >= size - back, own + 1))
     if ahead:
         homes.append(F.when(offset < ahead, own - 1))
+    # the explicit exchange keeps buckets apart even when the input happens to be clustered by key
     spread = grid.withColumns(
         {"_own": own, "_bucket": F.explode(F.array_compact(F.array(*homes)))}
-    )
+    ).repartition(*keys, "_bucket")
     window = W.partitionBy(*keys, "_bucket").orderBy(HOUR)
     columns = [f.build(window).alias(f.name) for f in features]
     return (

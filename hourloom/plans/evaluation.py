@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourloom.functions.distributions import t_two_sided_udf
@@ -18,9 +19,26 @@ SMALL_TRAIN_ROWS = 50_000
 
 
 def chronological_rank(
-    df: DataFrame, keys: Sequence[str] = (), ties: Sequence[str] = (), bucket_hours: int = 24
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    ties: Sequence[str] = (),
+    bucket_hours: int = 24,
+    hourly_keys: bool = False,
 ) -> DataFrame:
-    """Add seq (0-based position in time) and n_rows per key."""
+    """Add seq (0-based position in time) and n_rows per key.
+
+    hourly_keys=True says that a key has at most one row per hour. Its length is then bounded by the
+    calendar (8,784 rows a year), and one window per key ranks it without reading the input twice.
+    Otherwise, and always for a table without keys, ranks come from accumulated day counts.
+    """
+    if hourly_keys and keys:
+        series = W.partitionBy(*keys)
+        return df.withColumns(
+            {
+                "seq": F.row_number().over(series.orderBy(HOUR, *ties)).cast("bigint") - 1,
+                "n_rows": F.count(F.lit(1)).over(series),
+            }
+        )
     day = floor_div(F.col(HOUR), bucket_hours)
     return distributed_rank(df, [HOUR, *ties], [("_day", day)], keys)
 
@@ -107,10 +125,11 @@ def regression_metrics(
     y: str = "y",
     pred: str = "pred",
     mape_above: float | None = None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """RMSE, MAE, R² and MAPE in one aggregation.
 
-    mape_above restricts MAPE to rows whose true value exceeds it.
+    mape_above restricts MAPE to rows whose true value exceeds it; extra aggregates ride along.
     """
     both = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
     error = F.col(y) - F.col(pred)
@@ -124,6 +143,7 @@ def regression_metrics(
         F.avg(F.abs(error)).alias("mae"),
         (1.0 - mse / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"),
         (100.0 * F.avg(relative)).alias("mape"),
+        *extra,
     )
 
 

@@ -80,7 +80,7 @@ def lasso(alpha: float = LASSO_ALPHA, max_iter: int = 1000) -> Regressor:
     return Regressor(
         "Lasso Regression",
         lambda train: LinearRegression(
-            labelCol="y", regParam=alpha, elasticNetParam=1.0, standardization=False, maxIter=max_iter, tol=1e-9
+            labelCol="y", regParam=alpha, elasticNetParam=1.0, standardization=False, maxIter=max_iter, tol=1e-6
         ),
         scaled=True,
     )
@@ -222,11 +222,15 @@ def next_hour_experiment(
     """
     columns = list(columns)
     spark = table.sparkSession
-    ranked = chronological_rank(table.na.drop(subset=["y"]))
+    source = table.select(HOUR, *dict.fromkeys([*columns, current]), "y").na.drop(subset=["y"])
+    source = source.persist(StorageLevel.MEMORY_AND_DISK)  # ranking reads it twice
+    ranked = chronological_rank(source)
     complete = ranked.na.drop(subset=columns)
     train_rows = complete.where(is_train(test_size)).drop("seq", "n_rows")
     train = chronological_rank(train_rows).persist(StorageLevel.MEMORY_AND_DISK)
     test = complete.where(~is_train(test_size)).persist(StorageLevel.MEMORY_AND_DISK)
+    train.count(), test.count()  # fill both caches, then let go of the input
+    source.unpersist()
 
     fitted, cv = [], {}
     for regressor in models:

@@ -50,7 +50,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = add_features(
         inputs.series(spark, sf_dir), [lag("lag_1", "value", 1), lead("y", "value", 1)], ["parameter"]
     )
-    return ev.chronological_rank(table.na.drop(subset=["y"]), ["parameter"])
+    return ev.chronological_rank(table.na.drop(subset=["y"]), ["parameter"], hourly_keys=True)
 
 
 @query(f"""WITH {SERIES}, p AS (SELECT parameter, h, value, lead(value, 1) OVER ({BY} ORDER BY h) AS y,
@@ -69,13 +69,10 @@ def flagship_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     table = add_features(inputs.series(spark, sf_dir), wanted, ["parameter"])
     table = table.withColumns({c: steady(c) for c in ("day_mean", "day_std")})
-    test = ev.chronological_rank(table.na.drop(subset=["y"]), ["parameter"]).where(~ev.is_train())
-    scored = ev.regression_metrics(test, ["parameter"], pred="value")
-    levels = test.where(F.col("value").isNotNull()).groupBy("parameter").agg(
-        F.avg("day_mean").alias("day_mean"), F.avg("day_std").alias("day_std")
-    )
-    joined = steady_metrics(scored).join(levels, "parameter")
-    return joined.withColumns({c: steady(c, 5) for c in ("day_mean", "day_std")})
+    ranked = ev.chronological_rank(table.na.drop(subset=["y"]), ["parameter"], hourly_keys=True)
+    levels = [steady(F.avg(c), 5).alias(c) for c in ("day_mean", "day_std")]
+    scored = ev.regression_metrics(ranked.where(~ev.is_train()), ["parameter"], pred="value", extra=levels)
+    return steady_metrics(scored)
 
 
 @query("""SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, count(*) OVER () AS n_rows FROM events""")
@@ -172,7 +169,8 @@ def lag1_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = add_features(
         inputs.wide(spark, sf_dir), [lag("pm25_lag_1", "pm25", 1), *sets.horizon_targets("pm25")], keep=[HOUR]
     )
-    ranked = ev.chronological_rank(sets.long_targets(table, HORIZONS, [HOUR, "pm25_lag_1"]), ["horizon"])
+    long = sets.long_targets(table, HORIZONS, [HOUR, "pm25_lag_1"])
+    ranked = ev.chronological_rank(long, ["horizon"], hourly_keys=True)
     medians = exact_quantiles(ranked.where(ev.is_train()), ["pm25_lag_1"], [0.5], ["horizon"])
     test = ranked.where(~ev.is_train()).join(medians.select("horizon", "quantile"), "horizon")
     return test.withColumn("pred", F.coalesce("pm25_lag_1", "quantile"))

@@ -83,10 +83,27 @@ def flatten_hourly(
     ).where(F.col("ts").isNotNull())
 
 
-def read_measurements(spark: SparkSession, folder: str) -> DataFrame:
-    return flatten_measurements(
-        spark.read.schema(MEASUREMENT_PAYLOAD).option("multiLine", True).json(folder)
-    )
+def read_chunks(
+    spark: SparkSession, folder: str, schema: T.StructType, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """All payload chunks of a landing folder, one JSON document per file.
+
+    Chunks kept under chunk_date=YYYY-MM-DD folders are pruned by their path when a range is given.
+    """
+    payload = spark.read.schema(schema).option("multiLine", True).json(folder)
+    if "chunk_date" in payload.columns:
+        day = F.col("chunk_date").cast("date")
+        if start is not None:
+            payload = payload.where(day >= F.lit(start).cast("date"))
+        if end is not None:
+            payload = payload.where(day <= F.lit(end).cast("date"))
+    return payload
+
+
+def read_measurements(
+    spark: SparkSession, folder: str, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    return flatten_measurements(read_chunks(spark, folder, MEASUREMENT_PAYLOAD, start, end))
 
 
 def read_hourly(
@@ -94,8 +111,10 @@ def read_hourly(
     folder: str,
     variables: Mapping[str, str] | Sequence[str],
     input_zone: str = "UTC",
+    start: str | None = None,
+    end: str | None = None,
 ) -> DataFrame:
-    payload = spark.read.schema(hourly_payload_schema(list(variables))).option("multiLine", True).json(folder)
+    payload = read_chunks(spark, folder, hourly_payload_schema(list(variables)), start, end)
     return flatten_hourly(payload, variables, input_zone)
 
 
