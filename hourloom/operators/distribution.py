@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourloom.functions.distributions import normal_quantile
-from hourloom.operators.ranks import distributed_rank, exact_quantiles, quantile_columns, value_counts
+from hourloom.operators.ranks import EARLIER, exact_quantiles, quantile_columns, value_counts
 
 QUARTILES = {0.25: "q25", 0.5: "median", 0.75: "q75"}
 
@@ -37,8 +38,8 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
         F.min(x).alias("x_min"),
         F.max(x).alias("x_max"),
     )
-    line = lambda end: F.col("slope") * F.col(end) + F.col("intercept")
-    return fit.withColumns({"y_at_min": line("x_min"), "y_at_max": line("x_max")})
+    ends = {"y_at_min": F.col("x_min"), "y_at_max": F.col("x_max")}
+    return fit.withColumns({name: F.col("slope") * x_end + F.col("intercept") for name, x_end in ends.items()})
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
@@ -64,13 +65,26 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
     ).where(F.col("v").isNotNull())
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins)))
+    first_guess = F.least(place, F.lit(bins - 1)).cast("int")
+
+    def edge(index: Column) -> Column:
+        return F.col("lo") + index * width
+
+    # the division can land one bin off at an edge; the printed edges decide
+    b = F.col("_b")
+    settled = (
+        F.when(F.col("v") < edge(b), b - 1)
+        .when((b < bins - 1) & (F.col("v") >= edge(b + 1)), b + 1)
+        .otherwise(b)
+    )
     counted = (
         long.join(F.broadcast(edges), "column")  # one row per requested column
-        .groupBy("column", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
+        .withColumn("_b", first_guess)
+        .groupBy("column", settled.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     frame = edges.select("column", "lo", width.alias("width"), F.explode(F.array(*[F.lit(i) for i in range(bins)])).alias("bin"))
     return frame.join(counted, ["column", "bin"], "left").select(
         "column",
@@ -164,24 +178,24 @@ def qq_points(df: DataFrame, value: str, bins: int = 4096, chunk: int = 100_000)
         F.explode(F.sequence(F.col("from"), F.least(F.col("last"), F.col("from") + chunk - 1))).alias("rank0"),
     )
     rank = (F.col("rank0") + 1).cast("double")
-    points = points.select(
+    return points.select(
         (F.col("rank0") + 1).alias("rank"),
         normal_quantile(filliben_position(rank, F.col("n").cast("double"))).alias("theoretical"),
         F.col("value").alias("ordered"),
     )
-    return points
 
 
 def weighted_rank(df: DataFrame, value: str, weight: str, bucket: str) -> DataFrame:
-    """0-based first rank of each distinct value (rank0) and the total count (n)."""
-    from pyspark.sql import Window as W
+    """0-based first rank of each distinct value (rank0) and the total count (n).
 
+    The only window without keys runs over the table of bucket sizes, one row per bucket.
+    """
     sizes = df.groupBy(bucket).agg(F.sum(weight).alias("_size"))
     along = W.orderBy(bucket)
-    before = F.coalesce(F.sum("_size").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_size").over(along.rowsBetween(*EARLIER)), F.lit(0))
     placed = sizes.select(bucket, before.alias("_before"), F.sum("_size").over(W.partitionBy(F.lit(0))).alias("n"))
     inside = W.partitionBy(bucket).orderBy(value)
-    passed = F.coalesce(F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    passed = F.coalesce(F.sum(weight).over(inside.rowsBetween(*EARLIER)), F.lit(0))
     return df.join(placed, bucket).select(value, weight, "n", (F.col("_before") + passed).alias("rank0"))
 
 
@@ -194,8 +208,3 @@ def qq_line(points: DataFrame) -> DataFrame:
         F.corr("ordered", "theoretical").alias("r"),
     )
 
-
-__all__ = [
-    "box_stats", "correlation_matrix", "distributed_rank", "extremes_by_month", "histogram",
-    "linear_fit", "qq_line", "qq_points", "top_rows", "upper_extremes",
-]

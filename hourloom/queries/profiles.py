@@ -219,8 +219,10 @@ def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH v AS ({union_sql('SELECT \'$c\' AS "column", $c AS v FROM lineitem WHERE $c IS NOT NULL', LINE_COLUMNS)}),
 e AS (SELECT "column", min(v) AS lo, max(v) AS hi FROM v GROUP BY ALL),
-c AS (SELECT v."column", CAST(least(floor((v - lo) / (hi - lo) * 30.0), 29) AS INTEGER) AS bin, count(*) AS n
-      FROM v JOIN e ON e."column" = v."column" GROUP BY ALL),
+g AS (SELECT v."column", v, lo, (hi - lo) / 30.0 AS w, CAST(least(floor((v - lo) / (hi - lo) * 30.0), 29) AS INTEGER) AS b
+      FROM v JOIN e ON e."column" = v."column"),
+c AS (SELECT "column", CASE WHEN v < lo + b * w THEN b - 1 WHEN b < 29 AND v >= lo + (b + 1) * w THEN b + 1 ELSE b END AS bin,
+             count(*) AS n FROM g GROUP BY ALL),
 b AS (SELECT "column", lo, (hi - lo) / 30.0 AS w, unnest(generate_series(0, 29)) AS bin FROM e)
 SELECT b."column", CAST(b.bin AS INTEGER) AS bin, round(lo + b.bin * w, 6) AS "left", round(lo + (b.bin + 1) * w, 6) AS "right",
        coalesce(n, 0) AS "count" FROM b LEFT JOIN c ON c."column" = b."column" AND c.bin = b.bin""")
