@@ -85,21 +85,22 @@ def consecutive_gaps(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts") ->
     )
 
 
+def _long_values(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str], weight: str | None
+) -> DataFrame:
+    """(keys, column, value, _c) with one row per non-null value."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    size = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    return df.select(*keys, size.alias("_c"), F.inline(F.array(*cells))).where(
+        F.col("value").isNotNull() & ~F.isnan("value")
+    )
+
+
 def value_counts(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """(keys, column, value, _c): how often each distinct non-null value of each column occurs."""
-    long = df.select(
-        *keys,
-        *([weight] if weight else []),
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-            )
-        ),
-    ).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    size = F.sum(weight) if weight else F.count(F.lit(1))
-    return long.groupBy(*keys, "column", "value").agg(size.cast("bigint").alias("_c"))
+    return _long_values(df, columns, keys, weight).groupBy(*keys, "column", "value").agg(F.sum("_c").alias("_c"))
 
 
 def _positions(n: Column, prob: float) -> tuple[Column, Column, Column]:
@@ -120,20 +121,34 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     weight: str | None = None,
     bins: int = 4096,
+    reread: bool | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: rows of (keys, column, prob, quantile, n_values).
 
-    The built-in exact percentile gathers every distinct value of a group in one task. Here values
-    are counted once, a two-level histogram of those counts finds the fine bins that hold the
-    wanted ranks, and only the distinct values of these bins are sorted. Bins steer the work and
-    never the answer: any distribution gives the exact quantile.
+    The built-in exact percentile gathers every distinct value of a group in one task. Here a
+    histogram finds the bins that hold the wanted ranks, a finer histogram narrows them down, and
+    only the distinct values left are sorted. Bins steer the work and never the answer: any
+    distribution gives the exact quantile.
+
+    Two ways to feed the histograms, chosen by reread:
+    True reads the input three times and shuffles only bin counts and the values of chosen bins;
+    right for stored tables, and the default without keys and weights.
+    False reads it once and shuffles the distinct values with their counts; right for derived
+    input and for any number of keys.
     """
+    if reread is None:
+        reread = not keys and weight is None
+    if reread and keys:
+        raise ValueError("rereading needs a known number of groups: leave out the keys")
     group = [*keys, "column"]
-    counts = value_counts(df, columns, keys, weight)
+    source = _long_values(df, columns, keys, weight) if reread else value_counts(df, columns, keys, weight)
 
     finite = F.when(F.abs("value") < float("inf"), F.col("value"))
-    limits = counts.groupBy("column").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
-    entry = F.struct("column", F.struct("lo", "hi"))
+    # the sum keeps the limits on the counted values, whose exchange is then reused
+    limits = source.groupBy("column").agg(
+        F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.sum("_c").alias("n")
+    )
+    entry = F.struct("column", F.struct("lo", "hi", "n"))
     spans = limits.agg(F.map_from_entries(F.collect_list(entry))).scalar()  # one entry per column
     span = F.col("_span")
     last = F.lit(float(bins - 1))
@@ -145,41 +160,48 @@ def exact_quantiles(
         .otherwise(F.least(share, last))
     )
     rows = (
-        counts.withColumn("_span", F.element_at(spans, F.col("column")))
+        source.withColumn("_span", F.element_at(spans, F.col("column")))
         .withColumn("_x", F.coalesce(coarse, F.lit(0.0)))
         .withColumn("_d0", F.coalesce(F.floor("_x"), zero))
         .withColumn("_d1", F.coalesce(F.floor((F.col("_x") - F.col("_d0")) * F.lit(float(bins))), zero))
         .drop("_x", "_span")
     )
 
-    fine = rows.groupBy(*group, "_d0", "_d1").agg(F.sum("_c").alias("_size"))
     by_key = W.partitionBy(*group)
     top = (
-        fine.groupBy(*group, "_d0")
-        .agg(F.sum("_size").alias("_top"))
+        rows.groupBy(*group, "_d0")
+        .agg(F.sum("_c").alias("_size"))
         .select(
             *group,
             "_d0",
-            "_top",
-            F.coalesce(F.sum("_top").over(by_key.orderBy("_d0").rowsBetween(*EARLIER)), F.lit(0)).alias("_start"),
-            F.sum("_top").over(by_key).alias("_n"),
+            "_size",
+            F.coalesce(F.sum("_size").over(by_key.orderBy("_d0").rowsBetween(*EARLIER)), F.lit(0)).alias("_start"),
+            F.sum("_size").over(by_key).alias("_n"),
         )
     )
     ranks = F.array(*[r for p in probs for r in _positions(F.col("_n"), p)[:2]])
-    top = top.where(_holds_rank(F.col("_start"), F.col("_top"), ranks)).drop("_top")
+    top = top.where(_holds_rank(F.col("_start"), F.col("_size"), ranks)).drop("_size")
+    if reread:
+        # at most two chosen bins per column and probability
+        kept = rows.join(F.broadcast(top), [*group, "_d0"])
+        kept = kept.groupBy(*group, "_d0", "_d1", "_start", "_n", "value").agg(F.sum("_c").alias("_c"))
+    else:
+        kept = rows.join(top, [*group, "_d0"])
+
     within = W.partitionBy(*group, "_d0").orderBy("_d1")
     before = F.coalesce(F.sum("_size").over(within.rowsBetween(*EARLIER)), F.lit(0))
     chosen = (
-        fine.join(top, [*group, "_d0"])
-        .withColumn("_start", F.col("_start") + before)
-        .where(_holds_rank(F.col("_start"), F.col("_size"), ranks))
-        .drop("_size")
+        kept.groupBy(*group, "_d0", "_d1", "_start", "_n")
+        .agg(F.sum("_c").alias("_size"))
+        .withColumn("_from", F.col("_start") + before)
+        .where(_holds_rank(F.col("_from"), F.col("_size"), ranks))
+        .select(*group, "_d0", "_d1", "_from")
     )
 
     inside = W.partitionBy(*group, "_d0", "_d1").orderBy("value")
     passed = F.coalesce(F.sum("_c").over(inside.rowsBetween(*EARLIER)), F.lit(0))
-    located = rows.join(chosen, [*group, "_d0", "_d1"]).select(
-        *group, "value", "_c", "_n", (F.col("_start") + passed).alias("_rank")
+    located = kept.join(chosen, [*group, "_d0", "_d1"]).select(
+        *group, "value", "_c", "_n", (F.col("_from") + passed).alias("_rank")
     )
     ends = []
     for p in probs:

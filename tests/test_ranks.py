@@ -40,14 +40,15 @@ DISTRIBUTIONS = {
 }
 
 
+@pytest.mark.parametrize("reread", [True, False])
 @pytest.mark.parametrize("name", DISTRIBUTIONS)
-def test_exact_quantiles(spark, name):
+def test_exact_quantiles(spark, name, reread):
     values = DISTRIBUTIONS[name](np.random.default_rng(5))
     df = spark.createDataFrame(pd.DataFrame({"v": values})).unionByName(
         spark.createDataFrame([(None,), (float("nan"),)], "v double")
     )
     probs = [0.0, 0.25, 0.5, 0.77, 0.99, 1.0]
-    got = {r["prob"]: r for r in ranks.exact_quantiles(df, ["v"], probs, bins=16).collect()}
+    got = {r["prob"]: r for r in ranks.exact_quantiles(df, ["v"], probs, bins=16, reread=reread).collect()}
     for p in probs:
         assert got[p]["quantile"] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
         assert got[p]["n_values"] == len(values)
@@ -67,14 +68,31 @@ def test_quantiles_of_nothing(spark):
     assert ranks.exact_quantiles(empty, ["v"], [0.5]).count() == 0
 
 
-def test_quantile_scan_is_shared(spark, tmp_path):
-    """The counted values are read once: later stages reuse the first exchange."""
+def test_counted_values_are_read_once(spark, tmp_path):
+    """Every later stage, the limits subquery included, reuses the exchange of the counted values."""
     path = str(tmp_path / "v.parquet")
     spark.range(5000).selectExpr("cast(id as double) v").write.parquet(path)
-    q = ranks.exact_quantiles(spark.read.parquet(path), ["v"], [0.5])
-    q.collect()
-    final = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet") == 1
+    before = scanned_rows(spark)
+    ranks.exact_quantiles(spark.read.parquet(path), ["v"], [0.5], reread=False).collect()
+    assert scanned_rows(spark) - before == 5000
+
+
+def scanned_rows(spark):
+    """Input records of all stages so far, from the status store."""
+    gateway = spark.sparkContext._gateway
+    none, quantiles = gateway.jvm.java.util.ArrayList(), gateway.new_array(gateway.jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+
+def test_rereading_shuffles_only_chosen_bins(spark, tmp_path):
+    """Ten thousand distinct values: the second exchange carries a few bins' worth of them."""
+    path = str(tmp_path / "v.parquet")
+    spark.range(10_000).selectExpr("cast(id as double) v").write.parquet(path)
+    q = ranks.exact_quantiles(spark.read.parquet(path), ["v"], [0.5], bins=64)
+    assert q.first()["quantile"] == 4999.5
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [column" in plan
 
 
 def test_gaps_match_pandas(spark):

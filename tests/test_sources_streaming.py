@@ -12,24 +12,16 @@ from hourloom.streaming import landing
 RECORD = {
     "date": {"utc": "2024-01-01T00:00:00Z"},
     "parameter": "pm25",
-    "value": 15.5,
-    "unit": "µg/m³",
-    "location": "Test Station",
-    "city": "Almaty",
-    "country": "Kazakhstan",
-    "coordinates": {"latitude": 43.22, "longitude": 76.85},
-}
-HOURLY = {
-    "hourly": {
-        "time": ["2024-01-01T00:00", "2024-01-01T01:00"],
-        "temperature_2m": [5.2, 5.0],
-        "relative_humidity_2m": [75, 76],
-        "precipitation": [0.0, 0.1],
-        "surface_pressure": [1013.2, 1013.0],
-        "wind_speed_10m": [3.5, None],
-        "wind_direction_10m": [180, 185],
-    }
+    "value": 8.75,
+    "unit": "ug/m3",
+    "location": "Harbour",
+    "city": "Somewhere",
+    "country": "XX",
+    "coordinates": {"latitude": 10.5, "longitude": -20.25},
 }
+HOURLY = {"hourly": {name: [1.5 * i, 1.5 * i + 1] for i, name in enumerate(ARCHIVE_VARIABLES)}}
+HOURLY["hourly"]["time"] = ["2024-01-01T00:00", "2024-01-01T01:00"]
+HOURLY["hourly"]["wind_speed_10m"] = [6.0, None]
 
 
 def put(folder, name, payload):
@@ -46,7 +38,7 @@ def test_measurement_payloads(spark, tmp_path):
     assert rows.schema == MEASUREMENT_SCHEMA
     got = rows.orderBy(F.desc_nulls_last("value")).collect()
     assert [(r.ts, r.value, r.latitude) for r in got] == [
-        (dt.datetime(2024, 1, 1), 15.5, 43.22), (dt.datetime(2024, 1, 1), None, 43.22),
+        (dt.datetime(2024, 1, 1), 8.75, 10.5), (dt.datetime(2024, 1, 1), None, 10.5),
     ]
 
 
@@ -61,9 +53,9 @@ def test_hourly_payload_and_zone(spark, tmp_path):
     put(tmp_path, "a.json", HOURLY)
     rows = payloads.read_hourly(spark, str(tmp_path), ARCHIVE_VARIABLES).orderBy("ts").collect()
     assert len(rows) == 2 and rows[0].ts == dt.datetime(2024, 1, 1)
-    assert (rows[1].relative_humidity_2m, rows[1].wind_speed_10m) == (76.0, None)
+    assert (rows[1].relative_humidity_2m, rows[1].wind_speed_10m) == (2.5, None)
     local = payloads.read_hourly(spark, str(tmp_path), {"temperature_2m": "temp"}, "Asia/Almaty").orderBy("ts").first()
-    assert (local.ts, local.temp) == (dt.datetime(2023, 12, 31, 18), 5.2)
+    assert (local.ts, local.temp) == (dt.datetime(2023, 12, 31, 18), 0.0)
 
 
 def test_chunks_are_pruned_by_path(spark, tmp_path):
