@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from hourloom.settings import MONTH_LABELS, WEEKDAY_LABELS
 
-HOUR_US = 3_600_000_000
-DAY_US = 24 * HOUR_US
+MINUTE_US = 60_000_000
 
 
 def _col(c: Column | str) -> Column:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourloom.functions.timecols import HOUR_US, epoch_micros, floor_div
+from hourloom.functions.timecols import MINUTE_US, epoch_micros, floor_div
 
 EARLIER = (W.unboundedPreceding, -1)
 
@@ -29,8 +30,9 @@ def distributed_rank(
     """0-based row number by `order` within keys, plus the row count of each key.
 
     buckets are (name, column) pairs that never decrease along the order, most significant first.
-    Add a finer one when a single bucket could hold much of the table. The table of bucket counts
-    is what gets accumulated per key, so it must stay small: calendar hours, value bins.
+    The table of bucket counts is what gets accumulated per key, and one bucket is sorted in one
+    task, so both must be bounded: days of an hourly series, value bins. For raw rows, where one
+    hour or one instant may hold a large share of the table, use sorted_rank.
     """
     names = [n for n, _ in buckets]
     marked = df.withColumns(dict(buckets))
@@ -50,30 +52,56 @@ def distributed_rank(
     )
 
 
+def sorted_rank(
+    df: DataFrame, order: Sequence[str], rank: str = "seq", total: str = "n_rows"
+) -> DataFrame:
+    """0-based global row number by a unique order, whatever the skew.
+
+    One range-partitioned sort: its sampled bounds include the last order column, so even rows that
+    share an instant are split over tasks. The sorted rows are persisted, which fixes their
+    partitions; only the row count of each partition comes to the driver.
+    """
+    ordered = df.orderBy(*order).persist(StorageLevel.MEMORY_AND_DISK)
+    position = F.monotonically_increasing_id()  # the upper bits hold the partition number
+    marked = ordered.withColumn("_position", position).withColumn("_part", F.shiftright("_position", 33))
+    starts, n = [], 0
+    for row in marked.groupBy("_part").agg(F.count(F.lit(1)).alias("size")).orderBy("_part").collect():
+        starts.append((row["_part"], n))
+        n += row["size"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    within = F.col("_position") - F.shiftleft("_part", 33)
+    return (
+        marked.join(F.broadcast(offsets), "_part")  # one row per partition
+        .withColumns({rank: within + F.col("_start"), total: F.lit(n).cast("bigint")})
+        .drop("_part", "_position", "_start")
+    )
+
+
 def consecutive_gaps(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Gaps in microseconds between neighbouring timestamps of each key, as (gap_us, weight).
 
     Repeated timestamps are collapsed first and come back as zero gaps with a weight, so a
-    timestamp shared by many rows costs one row. Within an hour the previous timestamp is found by
-    a window on (key, hour); the first one of an hour looks at the last one of the previous
-    non-empty hour, in a table with one row per key and calendar hour.
+    timestamp shared by many rows costs one row. Within a minute the previous timestamp is found by
+    a window on (key, minute); the first one of a minute looks at the last one of the previous
+    non-empty minute, in a table with at most one row per key and calendar minute. A busy key or
+    minute is thus bounded by its distinct instants, not by its rows.
     """
     instants = (
         df.where(F.col(ts).isNotNull())
         .groupBy(*keys, epoch_micros(ts).alias("_us"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_hour", floor_div(F.col("_us"), HOUR_US))
+        .withColumn("_minute", floor_div(F.col("_us"), MINUTE_US))
     )
-    inside = W.partitionBy(*keys, "_hour").orderBy("_us")
+    inside = W.partitionBy(*keys, "_minute").orderBy("_us")
     linked = instants.select(
         *keys,
-        "_hour",
+        "_minute",
         "_us",
         "_c",
         F.lag("_us").over(inside).alias("_prev"),
-        F.max("_us").over(W.partitionBy(*keys, "_hour")).alias("_last"),
+        F.max("_us").over(W.partitionBy(*keys, "_minute")).alias("_last"),
     )
-    across = W.partitionBy(*keys).orderBy("_hour")
+    across = W.partitionBy(*keys).orderBy("_minute")
     firsts = linked.where(F.col("_prev").isNull()).withColumn("_prev", F.lag("_last").over(across))
     pairs = F.array(
         F.struct((F.col("_us") - F.col("_prev")).alias("gap_us"), F.lit(1).cast("bigint").alias("weight")),

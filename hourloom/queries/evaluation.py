@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.functions.timecols import hour_index
 from hourloom.operators.grid import HOUR
-from hourloom.operators.ranks import distributed_rank as rank_rows
-from hourloom.operators.ranks import exact_quantiles
+from hourloom.operators.ranks import exact_quantiles, sorted_rank
 from hourloom.operators.windows import add_features, lag, lead, rolling
 from hourloom.plans import evaluation as ev
 from hourloom.plans import features as sets
@@ -77,10 +75,15 @@ def flagship_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, count(*) OVER () AS n_rows FROM events""")
 def distributed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global rank in time; only hour counts are accumulated in one place."""
+    """Global rank of the raw events in time."""
     rows = inputs.table(spark, sf_dir, "events").select("event_id", "ts")
-    ranked = rank_rows(rows, ["ts", "event_id"], [("_hour", hour_index("ts"))])
-    return ranked.select("event_id", "seq", "n_rows")
+    return sorted_rank(rows, ["ts", "event_id"]).select("event_id", "seq", "n_rows")
+
+
+@query(f"""WITH {WIDE} SELECT h AS ts, row_number() OVER (ORDER BY h) - 1 AS seq, count(*) OVER () AS n_rows FROM wide""")
+def calendar_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of one hourly series without keys; only day counts are accumulated in one place."""
+    return ev.chronological_rank(inputs.wide(spark, sf_dir)).select(hour_ts(), "seq", "n_rows")
 
 
 @query(f"""WITH {PAIRS} SELECT parameter, count(CASE WHEN seq < floor(n * 0.8) THEN 1 END) AS n_train,

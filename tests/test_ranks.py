@@ -29,6 +29,16 @@ def test_rank_with_a_hot_timestamp_split_by_a_second_bucket(spark):
     assert [r.seq for r in got] == list(range(2000))
 
 
+def test_sorted_rank_splits_a_hot_instant(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).cast("bigint").alias("t"))
+    ranked = ranks.sorted_rank(df.repartition(5), ["t", "id"])
+    pdf = ranked.withColumn("p", F.spark_partition_id()).toPandas()
+    want = pdf.sort_values(["t", "id"]).reset_index(drop=True)
+    assert (want.seq == want.index).all() and (want.n_rows == 20_000).all()
+    assert pdf[pdf.t == 7].p.nunique() > 1
+    assert ranks.sorted_rank(df.limit(0), ["t", "id"]).count() == 0
+
+
 DISTRIBUTIONS = {
     "uniform": lambda r: r.uniform(0, 100, 4001),
     "one value": lambda r: np.full(500, 3.25),
