@@ -229,7 +229,8 @@ def next_hour_experiment(
     train_rows = complete.where(is_train(test_size)).drop("seq", "n_rows")
     train = chronological_rank(train_rows).persist(StorageLevel.MEMORY_AND_DISK)
     test = complete.where(~is_train(test_size)).persist(StorageLevel.MEMORY_AND_DISK)
-    train.count(), test.count()  # fill both caches, then let go of the input
+    for rows in (train, test):
+        rows.count()  # fill the cache before the input is let go
     source.unpersist()
 
     fitted, cv = [], {}

@@ -12,7 +12,7 @@ from hourloom.operators.grid import HOUR
 from hourloom.operators.profile import group_completeness
 from hourloom.operators.windows import add_features, lead
 from hourloom.plans import features as sets
-from hourloom.plans import models
+from hourloom.plans import models, pipelines
 from hourloom.plans.evaluation import chronological_rank, is_train, regression_metrics
 from hourloom.plans.reports import horizon_comparison as compare_horizons
 from hourloom.queries import inputs, query
@@ -93,42 +93,34 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_source_table(spark: SparkSession, sf_dir: str, target: str) -> tuple[DataFrame, list]:
-    grid = rich_wide(spark, sf_dir)
-    wanted = sets.multi_source_features(target, grid.columns)
-    table = sets.feature_table(grid, [*wanted, *sets.horizon_targets(target)], required=["target_1h"])
-    return table.persist(StorageLevel.MEMORY_AND_DISK), wanted
-
-
-def horizon_rows(spark: SparkSession, sf_dir: str, regressors: list, pollutants: list[str]) -> DataFrame:
-    """Metrics of every pollutant, horizon and model."""
-    tables = []
-    for pollutant in pollutants:
-        table, wanted = multi_source_table(spark, sf_dir, pollutant)
-        for h in HORIZONS:
-            run = models.horizon_experiment(
-                table, sets.names_of(wanted), f"target_{h}h", f"{pollutant}_lag_1", regressors
-            )
-            tables.append(
-                run.metrics.select(F.lit(pollutant).alias("pollutant"), F.lit(f"{h}h").alias("horizon"), "*")
-            )
-    return reduce(DataFrame.unionByName, tables)
+    return pipelines.build_features(rich_wide(spark, sf_dir), target, zone=None)
 
 
 @query()
 def horizon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     regressors = models.horizon_models(trees=5, rounds=3, maxDepth=5)
-    return horizon_rows(spark, sf_dir, regressors, ["pm25", "pm10"])
+    tables = {t: multi_source_table(spark, sf_dir, t) for t in ("pm25", "pm10")}
+    return pipelines.score_horizons(tables, HORIZONS, regressors)[0]
+
+
+@query()
+def horizon_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosting against forest at the shortest and the longest horizon."""
+    regressors = models.horizon_models(trees=5, rounds=3, maxDepth=5)
+    tables = {"pm25": multi_source_table(spark, sf_dir, "pm25")}
+    return pipelines.score_horizons(tables, [HORIZONS[0], HORIZONS[-1]], regressors)[1]
 
 
 @query()
 def horizon_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = horizon_rows(spark, sf_dir, [models.boosting(subsample=0.8, maxIter=3)], ["pm25"])
-    return compare_horizons(rows)
+    tables = {"pm25": multi_source_table(spark, sf_dir, "pm25")}
+    return compare_horizons(pipelines.score_horizons(tables, HORIZONS, [models.boosting(subsample=0.8, maxIter=3)])[0])
 
 
 @query()
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, wanted = multi_source_table(spark, sf_dir, "pm25")
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     return models.ablation(table, sets.ablation_sets(wanted), "target_1h", models.boosting(maxIter=3))
 
 

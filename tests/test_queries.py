@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 SF = "/root/testdata/sf0.01"
 RUNS = contract.queries()
 CHECKS = contract.oracle_sql()
-SLOW = {"results_table", "horizon_metrics", "horizon_comparison", "ablation", "importance_topk", "fit_forest",
+SLOW = {"results_table", "horizon_metrics", "horizon_comparison", "horizon_tests", "ablation", "importance_topk", "fit_forest",
         "fit_boosting", "fit_linear", "best_model", "residual_table", "residual_histogram", "residual_qq",
         "predicted_vs_actual"}  # fmt: skip  # covered at small size in test_evaluation_models
 
