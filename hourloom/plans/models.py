@@ -156,10 +156,15 @@ class Fitted:
         return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-def fit(regressor: Regressor, train: DataFrame, columns: Sequence[str]) -> Fitted:
-    """Train on complete rows; the label column is y."""
+def fit(
+    regressor: Regressor, train: DataFrame, columns: Sequence[str], scaler: Standardiser | None = None
+) -> Fitted:
+    """Train on complete rows; the label column is y.
+
+    A scaler already fitted on the same rows saves scaled models their own pass.
+    """
     columns = list(columns)
-    scaler = Standardiser.fit(train, columns) if regressor.scaled else None
+    scaler = (scaler or Standardiser.fit(train, columns)) if regressor.scaled else None
     inputs = scaler.transform(train) if scaler else train
     vector = VectorAssembler(inputCols=columns, outputCol="features").transform(inputs).select("features", "y")
     estimator = regressor.build(train)
@@ -234,8 +239,9 @@ def next_hour_experiment(
     source.unpersist()
 
     fitted, cv = [], {}
+    scaler = Standardiser.fit(train, columns) if any(m.scaled for m in models) else None
     for regressor in models:
-        fitted.append(fit(regressor, train, columns))
+        fitted.append(fit(regressor, train, columns, scaler))
         cv[regressor.name] = cross_validate(regressor, train, columns, n_splits) if n_splits else []
 
     predictions = predict_all(fitted, test)

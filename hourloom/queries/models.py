@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hourloom.operators.grid import HOUR
 from hourloom.operators.profile import group_completeness
