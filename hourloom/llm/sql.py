@@ -7,19 +7,19 @@ WITH items AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
          regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark),
-cuts AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS at
+cuts AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS beg
   FROM items WHERE len(w) > 0),
-wins AS (SELECT DISTINCT item, n, array_to_string(w[at:at + n - 1], ' ') AS win FROM cuts),
+wins AS (SELECT DISTINCT item, n, array_to_string(w[beg:beg + n - 1], ' ') AS win FROM cuts),
 lens AS (SELECT DISTINCT n FROM wins),
 docs AS (
   SELECT doc_id,
          regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
-spots AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS at FROM docs, lens),
+spots AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS beg FROM docs, lens),
 hits AS (
-  SELECT s.doc_id, s.at, s.n, b.item
-  FROM (SELECT doc_id, at, n, array_to_string(w[at:at + n - 1], ' ') AS win FROM spots) s JOIN wins b ON b.win = s.win AND b.n = s.n),
-words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM hits) GROUP BY doc_id),
+  SELECT s.doc_id, s.beg, s.n, b.item
+  FROM (SELECT doc_id, beg, n, array_to_string(w[beg:beg + n - 1], ' ') AS win FROM spots) s JOIN wins b ON b.win = s.win AND b.n = s.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(beg, beg + n)) AS p FROM hits) GROUP BY doc_id),
 named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
        sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
