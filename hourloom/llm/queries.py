@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hourloom.llm import sql
 from hourloom.llm.decontaminate import contamination, op1_digest
+from hourloom.llm.neardup import near_duplicates, op3_digest
 from hourloom.session import configure
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query(sql.OP1)
 def op1_decontaminate(spark, sf_dir):
     return op1_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query()
+def op3_near_duplicates(spark, sf_dir):
+    return op3_digest(near_duplicates(table(spark, sf_dir, "documents")))
