@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from hourloom.llm import sql
 from hourloom.llm.decontaminate import contamination, op1_digest
 from hourloom.llm.neardup import near_duplicates, op3_digest
+from hourloom.llm.repetition import measure
+from hourloom.llm.secrets import op2_digest, scan
 from hourloom.session import configure
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +38,16 @@ def op1_decontaminate(spark, sf_dir):
     return op1_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query()
+def op2_secrets(spark, sf_dir):
+    return op2_digest(scan(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op3_near_duplicates(spark, sf_dir):
     return op3_digest(near_duplicates(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op5_repetition(spark, sf_dir):
+    return measure(table(spark, sf_dir, "documents"))
