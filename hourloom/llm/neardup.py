@@ -7,15 +7,17 @@ x being the smallest of the exponential values that the elements of the set have
 Larger K means smaller minimum, so registers of a union are the greater ones of both: they merge.
 
 Candidates share a band of BAND_SIZE equal registers. At similarity 0.85 a register is equal with a
-chance of at least 0.85, so all BANDS bands miss a pair with a chance of (1 - 0.85**5)**26 = 2e-7.
-Candidates go on unless the likelihood of their registers, given both set sizes, rules out the
-threshold by a factor of e**RULED_OUT. The rest is confirmed on full sets: no link is estimated.
-
-Hot buckets are never expanded into all pairs. Round one compares each member of a bucket with the
-member that shares most registers with everybody. Round two takes only buckets in which more than
-one component is left, and compares the members outside their largest component with the others.
-Any linked pair either lies within a component after round one or is compared in round two, so
-components are those of the complete link graph.
+chance of at least 0.85, so all BANDS bands miss a pair with a chance of
+(1 - 0.85**7)**41 = 1.3e-7. Candidates go on unless the likelihood of their registers, given both set
+sizes, rules out the threshold by a factor of e**RULED_OUT. The rest is confirmed on full sets: no
+link is estimated.
+
+Hot buckets are never expanded into all pairs. Round one compares each member of a bucket with a few
+heads of about its own set size: those members that share most registers with everybody, HEADS per
+size class. Round two takes only buckets in which more than one component is left, and compares the
+members outside their largest component with the others of a possible size. Any linked pair either
+lies within a component after round one or is compared in round two, so components are those of the
+complete link graph.
 
 Defined results. Null and wordless texts have an empty set, are linked with nothing and make a
 component of their own. Fewer than 5 words are one shingle. Rows without doc_id take the smallest
@@ -38,13 +40,14 @@ from hourloom.llm.store import saved
 from hourloom.llm.words import LOWER, hash_words, shingles, split_words, text_slices
 
 WIDTH = 5
-BANDS = 26
-BAND_SIZE = 5
+BANDS = 41
+BAND_SIZE = 7
 REGISTERS = BANDS * BAND_SIZE
 REGISTER_BASE = 1.1
 RATE = 20.0
 PERCENT = 85
 RULED_OUT = 16.0
+HEADS = 2  # per bucket and size class; heads differ from band to band
 RUN = 1 << 15  # shingles handled at once: the working arrays stay in the cache
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = (_RANDOM.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -159,15 +162,20 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(bucket, fingerprint, size): classes that share a band with another class."""
+    """(bucket, fingerprint, n, size): classes that share a band with another class; size is the bucket's."""
     bands = [
         F.xxhash64(F.lit(i), F.substring("registers", 1 + i * BAND_SIZE, BAND_SIZE)) for i in range(BANDS)
     ]
-    spread = classes.select("fingerprint", F.explode(F.array(*bands)).alias("bucket"))
+    spread = classes.select("fingerprint", "n", F.explode(F.array(*bands)).alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     return spread.join(shared, "bucket")
 
 
+def _size_fits(x: Column | str, y: Column | str) -> Column:
+    """Sets of these sizes can reach the threshold."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
 def _ends(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Join columns of table for both ends of each pair, as <name>_a and <name>_b."""
     for end in ("a", "b"):
@@ -181,9 +189,8 @@ def _ends(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFr
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): those pairs whose full sets reach the threshold."""
     known = _ends(pairs, classes, {"n": "n", "registers": "reg"})
-    sized = known.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     possible = F.arrow_udf(_possible, "boolean")
-    likely = saved(sized.where(possible("reg_a", "reg_b", "n_a", "n_b")).select("a", "b"))
+    likely = saved(known.where(possible("reg_a", "reg_b", "n_a", "n_b")).select("a", "b"))
     full = _ends(likely, sets, {"shingles": "set"})
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
@@ -198,15 +205,17 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): confirmed links that connect the classes of each component."""
     members = saved(_members(classes))
     weight = members.groupBy("fingerprint").agg(F.sum("size").alias("weight"))
+    size_class = F.floor(F.log("n") / float(np.log(100 / PERCENT)))  # linked sets differ by one class at most
+    slot = F.pmod(F.xxhash64("fingerprint"), F.lit(HEADS))
     heads = (
         members.join(weight, "fingerprint")
-        .groupBy("bucket")
-        .agg(F.max(F.struct("weight", "fingerprint")).alias("top"))
-        .select("bucket", F.col("top.fingerprint").alias("head"))
+        .groupBy("bucket", size_class.alias("_class"), slot.alias("_slot"))
+        .agg(F.max(F.struct("weight", "fingerprint", "n")).alias("top"))
+        .select("bucket", F.col("top.fingerprint").alias("head"), F.col("top.n").alias("head_n"))
     )
     stars = (
         members.join(heads, "bucket")
-        .where(F.col("fingerprint") != F.col("head"))
+        .where((F.col("fingerprint") != F.col("head")) & _size_fits("n", "head_n"))
         .select(*_ordered(F.col("fingerprint"), F.col("head")))
         .distinct()
     )
@@ -219,7 +228,10 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     picked = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    sets = picked.select("class", F.arrow_udf(_full_set, FULL_SET)("text").alias("s")).select("class", "s.*")
+    # not deterministic: else the filter on its result would run it in the join, for every text
+    set_of = F.arrow_udf(_full_set, FULL_SET).asNondeterministic()
+    sets = picked.select("class", set_of("text").alias("s")).select("class", "s.*")
+    # repeated rows give a set twice; a clash of text hashes gives one of another class
     sets = saved(sets.where(F.col("class") == F.col("fingerprint")).drop("class").dropDuplicates(["fingerprint"]))
 
     first = saved(_confirmed(stars, classes, sets))
@@ -231,7 +243,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .where(F.col("_least") != F.col("_most"))
         .select("bucket")
     )
-    left = saved(held.join(split, "bucket").select("bucket", "fingerprint", "root"))
+    left = saved(held.join(split, "bucket").select("bucket", "fingerprint", "n", "root"))
     main = (
         left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"))
@@ -240,6 +252,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     others = left.join(main, "bucket").where(F.col("root") != F.col("main")).drop("main")
     x, y = others.alias("x"), left.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
+    apart &= _size_fits(F.col("x.n"), F.col("y.n"))
     cross = x.join(y, apart).select(*_ordered(F.col("x.fingerprint"), F.col("y.fingerprint"))).distinct()
     second = _confirmed(saved(cross.join(stars, ["a", "b"], "left_anti")), classes, sets)
     return first.unionByName(second)
