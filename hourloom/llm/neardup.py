@@ -14,10 +14,10 @@ link is estimated.
 
 Hot buckets are never expanded into all pairs. Round one compares each member of a bucket with a few
 heads of about its own set size: those members that share most registers with everybody, HEADS per
-size class. Round two takes only buckets in which more than one component is left, and compares the
-members outside their largest component with the others of a possible size. Any linked pair either
-lies within a component after round one or is compared in round two, so components are those of the
-complete link graph.
+size class. Round two takes only buckets in which more than one component is left, and pairs sets of
+different components there that share a rare enough shingle to reach the threshold at all. Any
+linked pair either lies within a component after round one or is compared in round two, so
+components are those of the complete link graph.
 
 Defined results. Null and wordless texts have an empty set, are linked with nothing and make a
 component of their own. Fewer than 5 words are one shingle. Rows without doc_id take the smallest
@@ -201,6 +201,28 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _rare_sharing(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components that can still reach the threshold.
+
+    Shingles are ordered by how few nodes hold them. If the first common shingle of two sets stands at
+    places i and j, they share 1 + min(n_a - i, n_b - j) shingles at most. Only shingles at which this
+    bound suffices make a pair: exact, and copies with many differences of their own drop out although
+    they share buckets.
+    """
+    held = nodes.select("fingerprint", "n", "root", F.explode("shingles").alias("shingle"))
+    held = held.join(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")), "shingle")
+    place = F.row_number().over(W.partitionBy("fingerprint").orderBy("nodes", "shingle"))
+    early = held.withColumn("place", place).where(
+        (100 * (F.col("n") - F.col("place") + 1) >= PERCENT * F.col("n")) & (F.col("nodes") > 1)
+    )
+    early = saved(early.drop("nodes"))
+    x, y = early.alias("x"), early.alias("y")
+    most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root"))
+    apart &= (100 + PERCENT) * most >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    return x.join(y, apart).select(*_ordered(F.col("x.fingerprint"), F.col("y.fingerprint"))).distinct()
+
+
 def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): confirmed links that connect the classes of each component."""
     members = saved(_members(classes))
@@ -244,16 +266,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .select("bucket")
     )
     left = saved(held.join(split, "bucket").select("bucket", "fingerprint", "n", "root"))
-    main = (
-        left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"))
-        .select("bucket", F.col("top.root").alias("main"))
-    )
-    others = left.join(main, "bucket").where(F.col("root") != F.col("main")).drop("main")
-    x, y = others.alias("x"), left.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
-    apart &= _size_fits(F.col("x.n"), F.col("y.n"))
-    cross = x.join(y, apart).select(*_ordered(F.col("x.fingerprint"), F.col("y.fingerprint"))).distinct()
+    cross = _rare_sharing(left.select("fingerprint", "n", "root").distinct().join(sets, "fingerprint"))
     second = _confirmed(saved(cross.join(stars, ["a", "b"], "left_anti")), classes, sets)
     return first.unionByName(second)
 
