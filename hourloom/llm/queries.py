@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hourloom.llm import sql
+from hourloom.llm.chat import op6_digest, round_trip, with_adversary
 from hourloom.llm.decontaminate import contamination, op1_digest
+from hourloom.llm.mixing import op9_digest, plan
 from hourloom.llm.neardup import near_duplicates, op3_digest
 from hourloom.llm.repetition import measure
 from hourloom.llm.secrets import op2_digest, scan
+from hourloom.llm.token_records import read_digests, write_records
 from hourloom.session import configure
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +51,24 @@ def op3_near_duplicates(spark, sf_dir):
     return op3_digest(near_duplicates(table(spark, sf_dir, "documents")))
 
 
+@query()
+def op4_token_records(spark, sf_dir):
+    from public_tokenizers import path
+
+    manifest = write_records(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), end_id=1, by_word=True)
+    return read_digests(manifest)
+
+
 @query()
 def op5_repetition(spark, sf_dir):
     return measure(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_chat(spark, sf_dir):
+    return op6_digest(round_trip(with_adversary(table(spark, sf_dir, "conversations"))))
+
+
+@query()
+def op9_mixing(spark, sf_dir):
+    return op9_digest(plan(table(spark, sf_dir, "documents")))
