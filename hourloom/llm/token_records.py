@@ -39,7 +39,8 @@ from hourloom.llm.store import saved, shared_folder
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the masked checksum
 ENTRY = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("n_tokens", "<u4")])
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000  # twice as many at most are remembered
+READERS = 4096  # most tasks that read shards
 GROUP = 256  # texts encoded at once
 MANIFEST = "shard int, records string, index string, n_docs bigint, n_tokens bigint"
 
@@ -81,7 +82,9 @@ class Encoder:
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # words met lately, and those met before
+        self.old: dict[bytes, bytes] = {}
+        self.points = dict(zip(b".,!?", self._encoded([".", ",", "!", "?"]))) if by_word else {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -97,17 +100,36 @@ class Encoder:
         plain = b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw
         return (raw.lower() if plain else raw).split()
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of all words into known. A point after a letter is a token of its own."""
+        known, old, missing, pointed = self.known, self.old, set(), []
+        for word in words.difference(known):
+            ids = old.get(word)
+            if ids is not None:
+                known[word] = ids
+            elif word[-1] in self.points and len(word) > 1 and 0x61 <= word[-2] <= 0x7A:
+                pointed.append(word)
+                stem = word[:-1]
+                if stem not in known:
+                    if stem in old:
+                        known[stem] = old[stem]
+                    else:
+                        missing.add(stem)
+            else:
+                missing.add(word)
+        new = list(missing)
+        known.update(zip(new, self._encoded([w.decode() for w in new])))
+        for word in pointed:
+            known[word] = known[word[:-1]] + self.points[word[-1]]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._encoded([t.decode() for t in texts])
-        known, split = self.known, [self._words(t) for t in texts]
-        distinct = set().union(*split)
-        new = list(distinct.difference(known))
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(distinct)
-        known.update(zip(new, self._encoded([w.decode() for w in new])))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.old = {}, self.known
+        split = [self._words(t) for t in texts]
+        self._learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=1)
@@ -189,7 +211,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record, read from the files of a manifest."""
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row per shard
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    dealt = placed.repartition("shard")
+    dealt = placed.repartition(max(1, min(READERS, manifest.count())), "shard")
     return dealt.mapInArrow(_read_shards, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
@@ -223,6 +245,6 @@ def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
                     out.append(ids_of(read_frame(stream)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    listed = manifest.repartition("shard").mapInArrow(entries, "doc_id bigint, file string, offset bigint")
+    listed = manifest.repartition(max(1, min(READERS, manifest.count())), "shard").mapInArrow(entries, "doc_id bigint, file string, offset bigint")
     shuffled = listed.orderBy(F.xxhash64(F.lit(seed), "file", "offset"))
     return shuffled.mapInArrow(fetch, "doc_id bigint, ids array<bigint>")
