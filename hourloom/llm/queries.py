@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from hourloom.llm import sql
@@ -11,9 +12,13 @@ from hourloom.llm.chat import op6_digest, round_trip, with_adversary
 from hourloom.llm.decontaminate import contamination, op1_digest
 from hourloom.llm.mixing import op9_digest, plan
 from hourloom.llm.neardup import near_duplicates, op3_digest
+from hourloom.llm.quality import score as quality_score
 from hourloom.llm.repetition import measure
 from hourloom.llm.secrets import op2_digest, scan
+from hourloom.llm.sharding import assign, op8_digest
 from hourloom.llm.token_records import read_digests, write_records
+from hourloom.llm.toxicity import op7_digest
+from hourloom.llm.toxicity import score as toxicity_score
 from hourloom.session import configure
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +74,26 @@ def op6_chat(spark, sf_dir):
     return op6_digest(round_trip(with_adversary(table(spark, sf_dir, "conversations"))))
 
 
+@query()
+def op7_toxicity(spark, sf_dir):
+    return op7_digest(toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@query()
+def op8_sharding(spark, sf_dir):
+    return op8_digest(assign(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op9_mixing(spark, sf_dir):
     return op9_digest(plan(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op10_quality(spark, sf_dir):
+    return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
