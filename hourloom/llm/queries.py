@@ -69,7 +69,7 @@ def op5_repetition(spark, sf_dir):
     return measure(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql.OP6)
 def op6_chat(spark, sf_dir):
     return op6_digest(round_trip(with_adversary(table(spark, sf_dir, "conversations"))))
 

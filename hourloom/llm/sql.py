@@ -24,3 +24,38 @@ named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT it
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
        sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words h USING (doc_id) LEFT JOIN named i USING (doc_id)"""
+
+
+def _clashes(value: str, codes: str, plains: list[str]) -> str:
+    """A rendered value would not parse back: it holds an escape or a control string."""
+    held = [f"contains({value}, '\\{c}')" for c in codes] + [f"contains({value}, '{p}')" for p in plains]
+    return " OR ".join(held)
+
+
+def _escaped(value: str, pairs: list[tuple[str, str]]) -> str:
+    out = f"replace({value}, '\\', '\\\\')"
+    for plain, coded in pairs:
+        out = f"replace({out}, '{plain}', '{coded}')"
+    return out
+
+
+OP6 = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+shown AS (
+  SELECT *,
+    CASE WHEN {_clashes('role', '\\ehc', ['</turn>', '### ', ':'])}
+         THEN {_escaped('role', [('</turn>', '\\e'), ('### ', '\\h'), (':', '\\c')])} ELSE role END AS r,
+    CASE WHEN {_clashes('text', '\\eh', ['</turn>', '### '])}
+         THEN {_escaped('text', [('</turn>', '\\e'), ('### ', '\\h')])} ELSE text END AS t
+  FROM rows),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum(length('### ' || r || ': ' || t || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+  FROM shown GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM joined"""
