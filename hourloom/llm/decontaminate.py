@@ -60,7 +60,8 @@ def _hits(docs: DataFrame, block: DataFrame, lengths: list[int]) -> DataFrame:
     if len(lengths) == 1:
         probe = spread.withColumn("key", keys[0])
     else:
-        probe = spread.withColumn("key", F.explode(F.array(*keys)))
+        last = F.array(F.lit(None).cast("bigint"))  # the row of the document itself, once
+        probe = spread.withColumn("key", F.explode(F.when(F.col("pos") == n, last).otherwise(F.array(*keys))))
     same = F.slice(F.col("w"), F.col("pos") + 1, F.col("len")) == F.col("win_words")
     found = probe.join(F.broadcast(block), (F.col("key") == F.col("win_key")) & same, "left")
     return found.where(F.col("win").isNotNull() | (F.col("pos") == n)).select(
