@@ -4,8 +4,9 @@ Built from DataFrame functions only. Rows with equal texts are linked. Every gro
 starts spread over the shards by a hash of doc_id; the state of the propagation is one count per
 (group, shard), never rows or links. In each round a group looks at its neighbours' shards and wants
 its rows in the shard that holds most of them among those with room. Demand and room meet per shard:
-if more rows want in than the quota leaves, every mover gets the same share of the room, rounded
-down, so a shard never passes its quota. Joins of rounds end when nothing moves or after ROUNDS.
+if more rows want in than the quota leaves, every mover gets the same share of the room, rounded up
+or down by a seeded hash, so that single rows move too and the quota holds on average. Rounds end
+when nothing moves or after ROUNDS; the cut at the end holds the quotas exactly.
 
 The law is `rows`: counts differ by one at most. Rows without a partner fill what is left. All rows
 are then put in one order - by wanted shard, linked rows first, group by group - and cut at exact
@@ -46,7 +47,7 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
 
 
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Move the counts n of (grp, shard) towards the fullest shards of their groups; no shard grows past its quota."""
+    """Move the counts n of (grp, shard) towards the fullest shards of their groups; shards grow to their quotas."""
     shards = len(quotas)
     for step in range(rounds):
         loads = _loads(cells, shards)
@@ -65,7 +66,8 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
         wants = {r["to"]: r["n"] for r in asked}
         shares = [min(1.0, room[s] / wants[s]) if wants.get(s) else 0.0 for s in range(shards)]
         share = F.element_at(F.array(*map(F.lit, shares)), F.col("to").cast("int") + 1)
-        moved = F.when(F.col("to").isNotNull(), F.floor(F.col("n") * share)).otherwise(0)
+        drawn = F.pmod(F.xxhash64(F.lit(step), "shard", "grp"), F.lit(1 << 20)) / float(1 << 20)
+        moved = F.when(F.col("to").isNotNull(), F.least("n", F.floor(F.col("n") * share + drawn))).otherwise(0)
         split = wanting.withColumn("_moved", moved)
         stay = split.select("grp", "shard", (F.col("n") - F.col("_moved")).alias("n"))
         come = split.where(F.col("_moved") > 0).select("grp", F.col("to").alias("shard"), F.col("_moved").alias("n"))
