@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourloom.functions.distributions import normal_quantile
-from hourloom.operators.ranks import EARLIER, exact_quantiles, quantile_columns, value_counts
+from hourloom.operators.ranks import EARLIER, even_scale, exact_quantiles, quantile_columns, value_counts
 
 QUARTILES = {0.25: "q25", 0.5: "median", 0.75: "q75"}
 
@@ -97,20 +97,22 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, mean, whiskers at 1.5 interquartile ranges, outlier count and median notch."""
-    counts = value_counts(df, columns)
     quartiles = quantile_columns(exact_quantiles(df, columns, list(QUARTILES)), QUARTILES)
     fences = quartiles.withColumn("iqr", F.col("q75") - F.col("q25"))
-    v, c = F.col("value"), F.col("_c")
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    long = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    v = F.col("value")
     inside = v.between(F.col("q25") - 1.5 * F.col("iqr"), F.col("q75") + 1.5 * F.col("iqr"))
+    # one pass that is summed inside each task; values themselves are not shuffled
     reach = (
-        counts.join(F.broadcast(fences), "column")  # one row per requested column
+        long.join(F.broadcast(fences), "column")  # one row per requested column
         .groupBy("column", "q25", "median", "q75", "iqr")
         .agg(
-            F.sum("_c").alias("n"),
-            (F.sum(v * c) / F.sum("_c")).alias("mean"),
+            F.count(F.lit(1)).alias("n"),
+            F.avg(v).alias("mean"),
             F.min(F.when(inside, v)).alias("low"),
             F.max(F.when(inside, v)).alias("high"),
-            F.coalesce(F.sum(F.when(~inside, c)), F.lit(0)).alias("n_outliers"),
+            F.count(F.when(~inside, 1)).alias("n_outliers"),
         )
     )
     notch = 1.57 * F.col("iqr") / F.sqrt(F.col("n").cast("double"))
@@ -160,10 +162,11 @@ def qq_points(df: DataFrame, value: str, bins: int = 4096, chunk: int = 100_000)
     counts = value_counts(df, [value]).select("value", "_c")
     span = F.col("_span")
     limits = counts.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"))).scalar()
-    share = (F.col("value") - span["lo"]) / (span["hi"] - span["lo"]) * F.lit(float(bins))
+    low, high = even_scale(span["lo"]), even_scale(span["hi"])
+    share = (even_scale(F.col("value")) - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(float(bins))
     place = F.when(F.col("value") <= span["lo"], F.lit(0.0)).otherwise(share)
     binned = counts.withColumn("_span", limits).withColumn(
-        "_bin", F.coalesce(F.floor(place), F.lit(0).cast("bigint"))
+        "_bin", F.coalesce(F.least(F.floor(place), F.lit(bins - 1)), F.lit(0).cast("bigint"))
     ).drop("_span")
     ranked = weighted_rank(binned, "value", "_c", "_bin")
     chunks = ranked.select(

@@ -142,6 +142,11 @@ def _holds_rank(start: Column, size: Column, ranks: Column) -> Column:
     return F.exists(ranks, lambda r: (r >= start) & (r < start + size))
 
 
+def even_scale(value: Column) -> Column:
+    """A never decreasing scale on which far outliers do not push all other values into one bin."""
+    return F.signum(value) * F.log1p(F.abs(value))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -155,8 +160,8 @@ def exact_quantiles(
 
     The built-in exact percentile gathers every distinct value of a group in one task. Here a
     histogram finds the bins that hold the wanted ranks, a finer histogram narrows them down, and
-    only the distinct values left are sorted. Bins steer the work and never the answer: any
-    distribution gives the exact quantile.
+    only the distinct values left are sorted. Bins are even on a logarithmic scale, so heavy tails leave
+    them filled. Bins steer the work and never the answer: any distribution gives the exact quantile.
 
     Two ways to feed the histograms, chosen by reread:
     True reads the input three times and shuffles only bin counts and the values of chosen bins;
@@ -179,19 +184,15 @@ def exact_quantiles(
     entry = F.struct("column", F.struct("lo", "hi", "n"))
     spans = limits.agg(F.map_from_entries(F.collect_list(entry))).scalar()  # one entry per column
     span = F.col("_span")
-    last = F.lit(float(bins - 1))
     zero = F.lit(0).cast("bigint")  # keeps the bins NOT NULL, so no null filter splits the shared scan
-    share = (F.col("value") - span["lo"]) / (span["hi"] - span["lo"]) * F.lit(float(bins))
-    coarse = (
-        F.when(F.col("value") <= span["lo"], F.lit(0.0))
-        .when(F.col("value") >= span["hi"], last)
-        .otherwise(F.least(share, last))
-    )
+    low, high = even_scale(span["lo"]), even_scale(span["hi"])
+    share = (even_scale(F.col("value")) - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(float(bins))
+    share = F.when(F.col("value") <= span["lo"], 0.0).when(F.col("value") >= span["hi"], float(bins)).otherwise(share)
     rows = (
         source.withColumn("_span", F.element_at(spans, F.col("column")))
-        .withColumn("_x", F.coalesce(coarse, F.lit(0.0)))
-        .withColumn("_d0", F.coalesce(F.floor("_x"), zero))
-        .withColumn("_d1", F.coalesce(F.floor((F.col("_x") - F.col("_d0")) * F.lit(float(bins))), zero))
+        .withColumn("_x", F.coalesce(share, F.lit(0.0)))
+        .withColumn("_d0", F.coalesce(F.least(F.floor("_x"), F.lit(bins - 1)), zero))
+        .withColumn("_d1", F.coalesce(F.least(F.floor((F.col("_x") - F.col("_d0")) * F.lit(float(bins))), F.lit(bins - 1)), zero))
         .drop("_x", "_span")
     )
 

@@ -308,16 +308,16 @@ def horizon_experiment(
     names = {"Naive baseline": "baseline", **{m.name: m.pred for m in fitted}}
     metrics = rounded(regression_metrics(score_long(scored, names), ["model"], mape_above=1.0))
     preds = {m.name: m.pred for m in fitted}
-    metrics = _small_table(metrics)
+    metrics = small_table(metrics)
     comparison = None
     if {"Gradient Boosting", "Random Forest"} <= set(preds):
-        comparison = _small_table(dm_test(scored, preds["Gradient Boosting"], preds["Random Forest"]))
+        comparison = small_table(dm_test(scored, preds["Gradient Boosting"], preds["Random Forest"]))
     train.unpersist()
     ranked.unpersist()
     return HorizonRun(metrics, comparison, fitted)
 
 
-def _small_table(df: DataFrame) -> DataFrame:
+def small_table(df: DataFrame) -> DataFrame:
     """Evaluate a score table of a few rows now."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 

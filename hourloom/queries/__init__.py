@@ -35,7 +35,6 @@ def load() -> None:
         evaluation,
         features,
         landing,
-        models,
         profiles,
-        reports,
     )
+    from hourloom.queries import models, reports  # noqa: F401, I001  the longest runs come last

@@ -1,4 +1,4 @@
-"""Model queries. Sizes are small enough for a check run; the defaults in plans.models are the full ones."""
+"""Model queries, at the sizes that are the defaults of plans.models."""
 
 from __future__ import annotations
 
@@ -19,8 +19,6 @@ from hourloom.queries.features import MULTI_SOURCE_SQL, RICH_COLUMNS, rich_wide
 from hourloom.queries.inputs import WIDE, steady, steady_sql
 from hourloom.settings import HORIZONS
 
-TREES = {"trees": 10, "rounds": 5, "maxDepth": 6}
-
 
 def next_hour_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     wanted = sets.next_hour_features("pm25", "pm10")
@@ -41,12 +39,12 @@ def fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fit_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_hour_run(spark, sf_dir, [models.forest(numTrees=10, maxDepth=8)]).results
+    return next_hour_run(spark, sf_dir, [models.forest()]).results
 
 
 @query()
 def fit_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_hour_run(spark, sf_dir, [models.boosting(maxIter=10)]).results
+    return next_hour_run(spark, sf_dir, [models.boosting()]).results
 
 
 # With one standardised feature all three linear models have closed forms in plain aggregates.
@@ -69,12 +67,14 @@ def linear_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = ranked.where(is_train()), ranked.where(~is_train())
     fitted = [models.fit(m, train, ["pm25"]) for m in (models.ols(), models.ridge(), models.lasso())]
     scored = models.score_long(models.predict_all(fitted, test), {m.name: m.pred for m in fitted})
-    return regression_metrics(scored, ["model"]).select("model", "n_test", steady("rmse", 4).alias("rmse"))
+    scores = models.small_table(regression_metrics(scored, ["model"]))
+    ranked.unpersist()
+    return scores.select("model", "n_test", steady("rmse", 4).alias("rmse"))
 
 
 @query()
 def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = next_hour_run(spark, sf_dir, [models.forest(numTrees=10, maxDepth=8), models.boosting(maxIter=5)])
+    run = next_hour_run(spark, sf_dir, [models.forest(), models.boosting()])
     tops = [models.top_features(m.importances(spark), 10) for m in run.fitted]
     return reduce(DataFrame.unionByName, tops)
 
@@ -82,7 +82,7 @@ def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five models with expanding-window cross-validation and the persistence row."""
-    return next_hour_run(spark, sf_dir, models.next_hour_models(**TREES), n_splits=3).results
+    return next_hour_run(spark, sf_dir, models.next_hour_models(), n_splits=5).results
 
 
 @query()
@@ -97,30 +97,32 @@ def multi_source_table(spark: SparkSession, sf_dir: str, target: str) -> tuple[D
 
 @query()
 def horizon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regressors = models.horizon_models(trees=5, rounds=3, maxDepth=5)
+    regressors = models.horizon_models()
     tables = {t: multi_source_table(spark, sf_dir, t) for t in ("pm25", "pm10")}
     return pipelines.score_horizons(tables, HORIZONS, regressors)[0]
 
 
 @query()
 def horizon_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosting against forest at the shortest and the longest horizon."""
-    regressors = models.horizon_models(trees=5, rounds=3, maxDepth=5)
-    tables = {"pm25": multi_source_table(spark, sf_dir, "pm25")}
-    return pipelines.score_horizons(tables, [HORIZONS[0], HORIZONS[-1]], regressors)[1]
+    """Boosting against forest at every horizon of both pollutants."""
+    regressors = models.horizon_models()
+    tables = {t: multi_source_table(spark, sf_dir, t) for t in ("pm25", "pm10")}
+    return pipelines.score_horizons(tables, HORIZONS, regressors)[1]
 
 
 @query()
 def horizon_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {"pm25": multi_source_table(spark, sf_dir, "pm25")}
-    return compare_horizons(pipelines.score_horizons(tables, HORIZONS, [models.boosting(subsample=0.8, maxIter=3)])[0])
+    tables = {t: multi_source_table(spark, sf_dir, t) for t in ("pm25", "pm10")}
+    return compare_horizons(pipelines.score_horizons(tables, HORIZONS, [models.boosting(subsample=0.8)])[0])
 
 
 @query()
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, wanted = multi_source_table(spark, sf_dir, "pm25")
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    return models.ablation(table, sets.ablation_sets(wanted), "target_1h", models.boosting(maxIter=3))
+    scores = models.ablation(table, sets.ablation_sets(wanted), "target_1h", models.boosting())
+    table.unpersist()
+    return scores
 
 
 def _groups_sql() -> str:

@@ -34,10 +34,9 @@ def union_sql(template: str, columns: list[str]) -> str:
 
 @query(f"""WITH {MEAS} SELECT parameter, CAST(ts AS DATE) AS date, {mean_sql('value', 2)} AS mean,
        15.0::DOUBLE AS guideline_daily, 5.0::DOUBLE AS guideline_annual
-FROM meas WHERE parameter = 'pm25' AND value IS NOT NULL GROUP BY ALL""")
+FROM meas WHERE value IS NOT NULL GROUP BY ALL""")
 def daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.measurements(spark, sf_dir).where("parameter = 'pm25'")
-    daily = profile.daily_mean(rows, keys=["parameter"], scale=2)
+    daily = profile.daily_mean(inputs.measurements(spark, sf_dir), keys=["parameter"], scale=2)
     level = GUIDELINES["pm25"]
     return daily.withColumns(
         {"guideline_daily": F.lit(level["daily"]), "guideline_annual": F.lit(level["annual"])}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Runtime settings, safe to apply to a session somebody else created.
@@ -36,19 +34,3 @@ def local_session(cpus: int = 8, memory: str = "12g", name: str = "hourloom") ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
-
-
-def checkpointed(df, spark: SparkSession | None = None):
-    """Cut a long lineage on reliable storage.
-
-    Uses the shared folder the cluster names in spark.checkpoint.dir. Without that setting (tests,
-    laptops) a folder under the current warehouse location is used.
-    """
-    spark = spark or df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

@@ -8,7 +8,6 @@ from hourloom.operators.windows import add_features, lead
 from hourloom.plans import evaluation as ev
 from hourloom.plans import features as sets
 from hourloom.plans import models, reports
-from hourloom.session import checkpointed
 
 
 def timeline(spark, n):
@@ -39,11 +38,10 @@ def test_hourly_keys_rank_equals_bucketed_rank(spark):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-@pytest.mark.parametrize("small", [0, 50_000])
-def test_median_imputer(spark, small):
+def test_median_imputer(spark):
     rows = [(1.0, None, 5.0), (2.0, None, None), (10.0, None, 7.0), (100.0, None, float("nan"))]
     df = spark.createDataFrame(rows, "a double, b double, c double")
-    imputer = ev.MedianImputer.fit(df, ["a", "b", "c"], small=small)
+    imputer = ev.MedianImputer.fit(df, ["a", "b", "c"])
     assert imputer.medians == {"a": 6.0, "c": 6.0} and imputer.dropped == ("b",)
     assert [tuple(r) for r in imputer.transform(df).collect()] == [(1.0, 5.0), (2.0, 6.0), (10.0, 7.0), (100.0, 6.0)]
 
@@ -172,9 +170,3 @@ def test_baseline_without_lag_is_the_training_mean(spark):
     table = add_features(grid, [*wanted, lead("target_1h", "pm25", 1)], keep=["hour_index"])
     run = models.horizon_experiment(table, [f.name for f in wanted], "target_1h", None, [models.ridge(scaled=False, name="Ridge")])
     assert {r.model for r in run.metrics.collect()} == {"Naive baseline", "Ridge"} and run.comparison is None
-
-
-def test_checkpoint_goes_to_the_configured_folder(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    assert checkpointed(spark.range(10)).count() == 10
-    assert any(tmp_path.rglob("part-*"))

@@ -4,10 +4,11 @@ import pytest
 from compare import compare, integer_widths, oracle_connection
 
 import __spark_entry__ as contract
+from hourloom import queries as registry
 
 SF = "/root/testdata/sf0.01"
-RUNS = contract.queries()
-CHECKS = contract.oracle_sql()
+registry.load()
+RUNS, CHECKS = registry.RUNNERS, registry.SQL
 SLOW = {"results_table", "horizon_metrics", "horizon_comparison", "horizon_tests", "ablation", "importance_topk", "fit_forest",
         "fit_boosting", "fit_linear", "best_model", "residual_table", "residual_histogram", "residual_qq",
         "predicted_vs_actual"}  # fmt: skip  # covered at small size in test_evaluation_models
@@ -19,7 +20,7 @@ def con():
 
 
 def test_every_check_has_a_query():
-    assert set(CHECKS) <= set(RUNS)
+    assert set(CHECKS) <= set(RUNS) and set(RUNS) <= set(contract.queries())
     assert set(RUNS) - set(CHECKS) - SLOW == {"audit_report", "dm_p_value"}
 
 
