@@ -43,6 +43,7 @@ LABELLED = 50_000  # bound on the labelled rows used
 MAX_TERMS = 2_000
 MIN_CONTEXTS = 4  # distinct preceding words in toxic rows, told apart by 63 slots
 MIN_Z = 5.0
+MIN_WEIGHT = 2.0  # log odds; leaves out words that merely lean to toxic rows, such as those of a language
 FOLDS, HELD_OUT = 5, 0
 # fixed values: look-alike letters of Greek and Cyrillic, and signs that stand for letters
 LOOKALIKES = dict(zip("αβεηικνορτυχωаеорсухіѕјԁԛԝьктмнвгӏё", "abenikvoptuxwaeopcyxisjdqwbktmhbrie"))
@@ -137,7 +138,9 @@ def learn_lexicon(teaching: DataFrame, n_toxic: int, n_other: int) -> dict[str,
     share = (F.col("t") + F.col("c")) / float(n_toxic + n_other)
     deviation = F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))
     z = (F.col("t") / n_toxic - F.col("c") / n_other) / deviation
-    kept = counts.where(F.col("contexts") >= MIN_CONTEXTS).withColumns({"weight": odds, "z": z}).where(F.col("z") >= MIN_Z)
+    kept = counts.where(F.col("contexts") >= MIN_CONTEXTS).withColumns({"weight": odds, "z": z}).where(
+        (F.col("z") >= MIN_Z) & (F.col("weight") >= MIN_WEIGHT)
+    )
     top = kept.orderBy(F.desc("z"), "word").limit(MAX_TERMS)  # the bound of the lexicon
     return {r["word"]: r["weight"] for r in top.collect()}
 
