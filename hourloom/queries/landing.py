@@ -254,3 +254,76 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT event_id, date_trunc('second', ts) AS ts, event_type AS parameter, value, 'ug' AS unit,
+       'L' || CAST(user_id AS VARCHAR) AS location, user_id / 100.0::DOUBLE AS latitude, CAST(NULL AS DOUBLE) AS longitude FROM events
+UNION ALL SELECT event_id, date_trunc('second', ts) - INTERVAL 5 HOUR, event_type || '_offset', NULL, NULL, NULL, NULL, NULL
+FROM events WHERE event_type <> 'error'""")
+def payload_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records: one with a Z time, one with an offset, and one whose time cannot be read."""
+    kind = F.col("event_type")
+
+    def record(utc, parameter, **given):
+        cells = {"value": F.lit(None), "unit": F.lit(None), "location": F.lit(None), "latitude": F.lit(None), **given}
+        return F.struct(
+            F.struct(utc.alias("utc")).alias("date"),
+            parameter.alias("parameter"),
+            cells["value"].cast("double").alias("value"),
+            cells["unit"].cast("string").alias("unit"),
+            cells["location"].cast("string").alias("location"),
+            F.col("event_id").cast("string").alias("city"),
+            F.lit(None).cast("string").alias("country"),
+            F.struct(
+                cells["latitude"].cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude")
+            ).alias("coordinates"),
+        )
+
+    place = F.concat(F.lit("L"), F.col("user_id").cast("string"))
+    told = record(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), kind,
+        value=F.col("value"), unit=F.lit("ug"), location=place, latitude=F.col("user_id") / 100.0,
+    )
+    offset = F.when(kind == "error", "unknown").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+05:00'"))
+    unread = record(F.lit("not a time"), kind)
+    records = F.array(told, record(offset, F.concat(kind, F.lit("_offset"))), unread)
+    payload = inputs.table(spark, sf_dir, "events").select(records.alias("results"))
+    return payloads.flatten_measurements(payload).select(
+        F.col("city").cast("bigint").alias("event_id"), "ts", "parameter", "value", "unit", "location", "latitude", "longitude"
+    )
+
+
+@query("""SELECT event_id, date_trunc('minute', ts) + to_hours(i) AS ts, value + i AS temp,
+       CASE WHEN i < 2 THEN CAST(user_id AS DOUBLE) END AS humidity
+FROM (SELECT *, unnest(range(3)) AS i FROM events)""")
+def payload_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel arrays of three hours and two humidities, with zone-less times."""
+    hours = F.array(*[F.lit(i) for i in range(3)])
+
+    def later(i):
+        return F.date_format(F.timestamp_add("HOUR", i, F.col("ts")), "yyyy-MM-dd'T'HH:mm")
+
+    arrays = F.struct(
+        F.transform(hours, later).alias("time"),
+        F.array_repeat(F.col("event_id").cast("double"), 3).alias("id"),
+        F.transform(hours, lambda i: F.col("value") + i).alias("temperature_2m"),
+        F.array_repeat(F.col("user_id").cast("double"), 2).alias("relative_humidity_2m"),
+    )
+    payload = inputs.table(spark, sf_dir, "events").select(arrays.alias("hourly"))
+    names = {"id": "event_id", "temperature_2m": "temp", "relative_humidity_2m": "humidity"}
+    rows = payloads.flatten_hourly(payload, names)
+    return rows.withColumn("event_id", F.col("event_id").cast("bigint"))
+
+
+@query("""SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'Unknown' ELSE s_name END AS name,
+       s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0 AS has_parameter FROM supplier""")
+def payload_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station lists whose parameters are plain strings, objects with an id, or missing."""
+    key = F.col("s_suppkey")
+    listed = (
+        F.when(key % 7 == 0, F.lit(None).cast("array<string>"))
+        .when(key % 3 == 0, F.array(F.lit("pm10"), F.lit('{"id": "no2"}')))
+        .when(key % 3 == 1, F.array(F.lit("pm10"), F.lit("pm25")))
+        .otherwise(F.array(F.lit('{"id": "pm25"}')))
+    )
+    station = F.struct(F.when(key % 5 != 0, F.col("s_name")).alias("name"), listed.alias("parameters"))
+    payload = inputs.table(spark, sf_dir, "supplier").select(F.array(station).alias("results"))
+    return payloads.stations_with_parameter(payload, "pm25")
