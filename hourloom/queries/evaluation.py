@@ -209,7 +209,13 @@ def dm_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.withColumns({"mean_d": steady("mean_d", 4), "var_d": steady("var_d", 3), "stat": steady("stat")})
 
 
-@query()
+# With t = sqrt(v) tan(a) the tail of Student's distribution is an integral of cos(a)^(v - 1), here by the midpoint rule.
+@query(f"""WITH {DM}, s AS (SELECT *, n - 1 AS v, CASE WHEN var_d / n > 0 THEN mean_d / sqrt(var_d / n) ELSE 0.0 END AS stat FROM m),
+a AS (SELECT *, atan(abs(stat) / sqrt(v)) AS a0 FROM s),
+i AS (SELECT parameter, n, stat, v, avg(pow(cos(a0 + (pi() / 2 - a0) * (k + 0.5) / 20000), v - 1)) * (pi() / 2 - a0) AS tail
+      FROM (SELECT *, unnest(range(20000)) AS k FROM a) GROUP BY parameter, n, stat, v, a0),
+t AS (SELECT parameter, n, stat, 2 * tail * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(pi()) AS p FROM i)
+SELECT parameter, n, round(stat, 3) AS stat, round(p, 4) AS p_value, p < 0.05 AS significant FROM t""")
 def dm_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = ev.dm_test(dm_rows(spark, sf_dir), "value", "lag_1", keys=["parameter"])
     return result.select("parameter", "n", F.round("stat", 3).alias("stat"), F.round("p_value", 4).alias("p_value"), "significant")

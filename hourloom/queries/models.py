@@ -34,7 +34,7 @@ def next_hour_run(spark: SparkSession, sf_dir: str, regressors: list, n_splits:
 
 @query()
 def fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_hour_run(spark, sf_dir, [models.ols(), models.ridge(), models.lasso()]).results
+    return next_hour_run(spark, sf_dir, [models.ols(), models.ridge(), models.lasso()], n_splits=5).results
 
 
 @query()

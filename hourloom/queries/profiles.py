@@ -123,7 +123,24 @@ def series_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.series_audit(hourly, ["pm25", "pm10"]), ["span_days"])
 
 
-@query()
+def missing_row_sql(column: str) -> str:
+    """Report line of a column's missing share, only where values are missing."""
+    pct = f"round(100.0 * CAST(count(*) - count({column}) AS DOUBLE) / count(*), 2)"
+    mark = f"CASE WHEN {pct} < 5 THEN '✓' WHEN {pct} < 20 THEN '⚠' ELSE '✗' END"
+    return f"SELECT 'Missing: {column}', format('{{:.2f}}%', {pct}), {mark} FROM wide HAVING {pct} > 0"
+
+
+@query(f"""WITH {WIDE}, g AS (SELECT h, date_diff('microsecond', lag(h) OVER (ORDER BY h), h) / 3.6e9 AS gap FROM wide)
+SELECT 'Total Rows' AS metric, format('{{:,}}', count(*)) AS value, CASE WHEN count(*) > 0 THEN '✓' ELSE '✗' END AS status FROM wide
+UNION ALL SELECT * FROM (VALUES ('Total Columns', '3', '✓'), ('Timezone Aware', 'No', '⚠'),
+  ('Dtype: ts', 'timestamp_ntz', 'ℹ'), ('Dtype: pm25', 'double', 'ℹ'), ('Dtype: pm10', 'double', 'ℹ'))
+UNION ALL SELECT 'Date Range Start', CAST(min(h) AS VARCHAR), '✓' FROM wide
+UNION ALL SELECT 'Date Range End', CAST(max(h) AS VARCHAR), '✓' FROM wide
+UNION ALL SELECT 'Time Span (days)', format('{{:.1f}}', date_diff('microsecond', min(h), max(h)) / 86400e6), '✓' FROM wide
+UNION ALL SELECT 'Median Timestep (hours)', format('{{:.2f}}', median(gap)), CASE WHEN median(gap) > 0 THEN '✓' ELSE '✗' END FROM g
+UNION ALL SELECT 'Duplicate Timestamps', format('{{:,}}', count(*) - count(DISTINCT h)),
+  CASE WHEN count(*) = count(DISTINCT h) THEN '✓' ELSE '⚠' END FROM wide
+UNION ALL {missing_row_sql('pm25')} UNION ALL {missing_row_sql('pm10')}""")
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = inputs.wide(spark, sf_dir).select(hour_ts(), "pm25", "pm10")
     return profile.audit_report(hourly, ["pm25", "pm10"])
