@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,36 +162,48 @@ def persistence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steady_metrics(ev.regression_metrics(test, ["parameter"], pred="value"))
 
 
-LAG1 = f"""{WIDE}, f AS (SELECT h, {lag_sql('pm25', 1)}, {', '.join(f'lead(pm25, {k}) OVER (ORDER BY h) AS t{k}' for k in HORIZONS)} FROM wide),
-p AS ({' UNION ALL '.join(f'SELECT h, pm25_lag_1, {k} AS horizon, t{k} AS y FROM f WHERE t{k} IS NOT NULL' for k in HORIZONS)}),
-r AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY h) - 1 AS seq, count(*) OVER (PARTITION BY horizon) AS n FROM p),
-med AS (SELECT horizon, median(pm25_lag_1) AS med FROM r WHERE seq < floor(n * 0.8) GROUP BY horizon),
-t AS (SELECT r.horizon, y, coalesce(pm25_lag_1, med) AS pred FROM r JOIN med ON med.horizon = r.horizon WHERE seq >= floor(n * 0.8))"""
+POLLUTANTS = ("pm25", "pm10")
 
 
-def lag1_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test rows of every horizon with the imputed previous value as prediction."""
-    table = add_features(
-        inputs.wide(spark, sf_dir), [lag("pm25_lag_1", "pm25", 1), *sets.horizon_targets("pm25")], keep=[HOUR]
-    )
-    long = sets.long_targets(table, HORIZONS, [HOUR, "pm25_lag_1"])
-    ranked = ev.chronological_rank(long, ["horizon"], hourly_keys=True)
-    medians = exact_quantiles(ranked.where(ev.is_train()), ["pm25_lag_1"], [0.5], ["horizon"])
-    test = ranked.where(~ev.is_train()).join(medians.select("horizon", "quantile"), "horizon")
-    return test.withColumn("pred", F.coalesce("pm25_lag_1", "quantile"))
+def _targets_sql(parameter: str) -> str:
+    targets = ", ".join(f"lead({parameter}, {k}) OVER (ORDER BY h) AS t{k}" for k in HORIZONS)
+    return f"SELECT '{parameter}' AS parameter, h, lag({parameter}, 1) OVER (ORDER BY h) AS before, {targets} FROM wide"
 
 
-@query(f"""WITH {LAG1}, m AS (SELECT horizon, {', '.join(metric_sql('y', 'pred'))} FROM t GROUP BY horizon)
-SELECT CAST(horizon AS INTEGER) AS horizon, {STEADY_METRICS} FROM m""")
+LAG1 = f"""{WIDE}, f AS ({' UNION ALL '.join(_targets_sql(p) for p in POLLUTANTS)}),
+p AS ({' UNION ALL '.join(f'SELECT parameter, h, before, {k} AS horizon, t{k} AS y FROM f WHERE t{k} IS NOT NULL' for k in HORIZONS)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY parameter, horizon ORDER BY h) - 1 AS seq,
+             count(*) OVER (PARTITION BY parameter, horizon) AS n FROM p),
+med AS (SELECT parameter, horizon, median(before) AS med FROM r WHERE seq < floor(n * 0.8) GROUP BY ALL),
+t AS (SELECT r.parameter, r.horizon, y, coalesce(before, med) AS pred FROM r JOIN med USING (parameter, horizon)
+      WHERE seq >= floor(n * 0.8))"""
+
+
+def lag1_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows of both pollutants and every horizon with the imputed previous value as prediction."""
+    grid, parts = inputs.wide(spark, sf_dir), []
+    for parameter in POLLUTANTS:
+        wanted = [lag("before", parameter, 1), *sets.horizon_targets(parameter)]
+        long = sets.long_targets(add_features(grid, wanted, keep=[HOUR]), HORIZONS, [HOUR, "before"])
+        parts.append(long.withColumn("parameter", F.lit(parameter)))
+    keys = ["parameter", "horizon"]
+    ranked = ev.chronological_rank(reduce(DataFrame.unionByName, parts), keys, hourly_keys=True)
+    medians = exact_quantiles(ranked.where(ev.is_train()), ["before"], [0.5], keys)
+    test = ranked.where(~ev.is_train()).join(medians.select(*keys, "quantile"), keys)
+    return test.withColumn("pred", F.coalesce("before", "quantile"))
+
+
+@query(f"""WITH {LAG1}, m AS (SELECT parameter, horizon, {', '.join(metric_sql('y', 'pred'))} FROM t GROUP BY ALL)
+SELECT parameter, CAST(horizon AS INTEGER) AS horizon, {STEADY_METRICS} FROM m""")
 def lag1_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steady_metrics(ev.regression_metrics(lag1_predictions(spark, sf_dir), ["horizon"]))
+    return steady_metrics(ev.regression_metrics(lag1_predictions(spark, sf_dir), ["parameter", "horizon"]))
 
 
-@query(f"""WITH {LAG1}, m AS (SELECT horizon, {', '.join(metric_sql('y', 'pred', 1.0))} FROM t GROUP BY horizon)
-SELECT CAST(horizon AS INTEGER) AS horizon, n_test, round(rmse, 3) AS rmse, round(mae, 3) AS mae, round(r2, 3) AS r2,
+@query(f"""WITH {LAG1}, m AS (SELECT parameter, horizon, {', '.join(metric_sql('y', 'pred', 1.0))} FROM t GROUP BY ALL)
+SELECT parameter, CAST(horizon AS INTEGER) AS horizon, n_test, round(rmse, 3) AS rmse, round(mae, 3) AS mae, round(r2, 3) AS r2,
   round(mape, 1) AS mape FROM m""")
 def masked_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ev.regression_metrics(lag1_predictions(spark, sf_dir), ["horizon"], mape_above=1.0)
+    scored = ev.regression_metrics(lag1_predictions(spark, sf_dir), ["parameter", "horizon"], mape_above=1.0)
     return ev.rounded(scored)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -298,9 +300,17 @@ def qq_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(line, ["slope", "intercept"], 4), ["r"])
 
 
-@query(f"""WITH {WIDE} SELECT h AS ts, pm25, 15.0::DOUBLE AS guideline_daily, 5.0::DOUBLE AS guideline_annual,
-       CASE WHEN pm25 > 15 THEN 'above_daily' WHEN pm25 > 5 THEN 'above_annual'
-            WHEN pm25 IS NOT NULL THEN 'within' END AS status FROM wide""")
-def series_with_guidelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.with_guidelines(inputs.wide(spark, sf_dir).select(hour_ts(), "pm25"), "pm25", "pm25")
+def _guideline_sql(parameter: str, daily: float, annual: float) -> str:
+    return f"""SELECT h AS ts, '{parameter}' AS parameter, {parameter} AS value, {daily}::DOUBLE AS guideline_daily,
+  {annual}::DOUBLE AS guideline_annual, CASE WHEN {parameter} > {daily} THEN 'above_daily'
+  WHEN {parameter} > {annual} THEN 'above_annual' WHEN {parameter} IS NOT NULL THEN 'within' END AS status FROM wide"""
 
+
+@query(f"WITH {WIDE} {_guideline_sql('pm25', 15.0, 5.0)} UNION ALL {_guideline_sql('pm10', 45.0, 15.0)}")
+def series_with_guidelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = inputs.wide(spark, sf_dir)
+    parts = [
+        reports.with_guidelines(grid.select(hour_ts(), F.lit(p).alias("parameter"), F.col(p).alias("value")), p, "value")
+        for p in GUIDELINES
+    ]
+    return reduce(DataFrame.unionByName, parts)
