@@ -14,6 +14,11 @@ SLOW = {"results_table", "horizon_metrics", "horizon_comparison", "horizon_tests
         "fit_boosting"}  # fmt: skip  # minutes each; covered at small size in test_evaluation_models
 
 
+@pytest.fixture(scope="module")
+def con():
+    return oracle_connection(SF)
+
+
 def test_every_check_has_a_query():
     assert set(CHECKS) <= set(RUNS) and set(RUNS) <= set(contract.queries())
     assert set(RUNS) - set(CHECKS) == SLOW | LINEAR
