@@ -53,11 +53,16 @@ def expanding_folds(ranked: DataFrame, n_splits: int = 5) -> DataFrame:
     Fold i trains on everything before its validation block; the blocks are the last n_splits
     blocks of n // (n_splits + 1) rows.
     """
-    block = floor_div_col(F.col("n_rows"), n_splits + 1)
     fold = F.explode(F.array(*[F.lit(i) for i in range(1, n_splits + 1)])).alias("fold")
-    start = F.col("n_rows") - (F.lit(n_splits + 1) - F.col("fold")) * block
-    role = F.when(F.col("seq") < start, "train").when(F.col("seq") < start + block, "validate")
-    return ranked.select("*", fold).withColumn("role", role).where(F.col("role").isNotNull())
+    spread = ranked.select("*", fold)
+    return spread.withColumn("role", fold_role(F.col("fold"), n_splits)).where(F.col("role").isNotNull())
+
+
+def fold_role(fold: Column, n_splits: int = 5) -> Column:
+    """train, validate or null for a row in the fold; needs seq and n_rows, so folds follow each series."""
+    block = floor_div_col(F.col("n_rows"), n_splits + 1)
+    start = F.col("n_rows") - (F.lit(n_splits + 1) - fold) * block
+    return F.when(F.col("seq") < start, "train").when(F.col("seq") < start + block, "validate")
 
 
 def floor_div_col(value: Column, by: int) -> Column:

@@ -2,6 +2,10 @@
 
 Loops run on the driver and submit one training job after another over one persisted feature table;
 predictions of all models are chained on one frame, so every score table is a single aggregation.
+
+keys name the series of a table that holds many: a key has one row per hour at most. Rank, split and
+folds then follow each series on its own, one model learns from the training rows of all of them, and
+scores come for all rows together and per series. Without keys the table is one series.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from hourloom.plans.evaluation import (
     Standardiser,
     chronological_rank,
     dm_test,
-    fold_bounds,
+    fold_role,
     is_train,
     regression_metrics,
     rounded,
@@ -184,11 +188,12 @@ def predict_all(models: Sequence[Fitted], df: DataFrame) -> DataFrame:
 
 
 def cross_validate(regressor: Regressor, train: DataFrame, columns: Sequence[str], n_splits: int = 5) -> list[float]:
-    """RMSE of a fresh model per expanding fold; train carries seq counted over the training rows."""
+    """RMSE of a fresh model per expanding fold; train carries seq and n_rows counted over the training rows."""
     scores = []
-    for start, end in fold_bounds(train.count(), n_splits):
-        fold_model = fit(regressor, train.where(F.col("seq") < start), columns)
-        held_out = train.where((F.col("seq") >= start) & (F.col("seq") < end))
+    for fold in range(1, n_splits + 1):
+        role = fold_role(F.lit(fold), n_splits)
+        fold_model = fit(regressor, train.where(role == "train"), columns)
+        held_out = train.where(role == "validate")
         scored = regression_metrics(fold_model.predict(held_out).withColumnRenamed(fold_model.pred, "pred"))
         scores.append(scored.first()["rmse"])
     return scores
@@ -205,6 +210,7 @@ class NextHourRun:
     predictions: DataFrame
     results: DataFrame
     cv_scores: dict[str, list[float]] = field(default_factory=dict)
+    series_results: DataFrame | None = None  # test metrics per series and model
 
     def release(self) -> None:
         """Drop the cached train and test rows once predictions and results are written."""
@@ -219,6 +225,7 @@ def next_hour_experiment(
     models: Sequence[Regressor],
     n_splits: int = 5,
     test_size: float = 0.2,
+    keys: Sequence[str] = (),
 ) -> NextHourRun:
     """Split in time, keep complete cases, compare models with persistence.
 
@@ -227,12 +234,12 @@ def next_hour_experiment(
     """
     columns = list(columns)
     spark = table.sparkSession
-    source = table.select(HOUR, *dict.fromkeys([*columns, current]), "y").na.drop(subset=["y"])
+    source = table.select(*keys, HOUR, *dict.fromkeys([*columns, current]), "y").na.drop(subset=["y"])
     source = source.persist(StorageLevel.MEMORY_AND_DISK)  # ranking reads it twice
-    ranked = chronological_rank(source)
+    ranked = chronological_rank(source, keys, hourly_keys=True)
     complete = ranked.na.drop(subset=columns)
     train_rows = complete.where(is_train(test_size)).drop("seq", "n_rows")
-    train = chronological_rank(train_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    train = chronological_rank(train_rows, keys, hourly_keys=True).persist(StorageLevel.MEMORY_AND_DISK)
     test = complete.where(~is_train(test_size)).persist(StorageLevel.MEMORY_AND_DISK)
     for rows in (train, test):
         rows.count()  # fill the cache before the input is let go
@@ -246,7 +253,9 @@ def next_hour_experiment(
 
     predictions = predict_all(fitted, test)
     names = {m.name: m.pred for m in fitted}
-    on_test = regression_metrics(score_long(predictions, {"Naive Baseline": current, **names}), ["model"])
+    test_scores = score_long(predictions, {"Naive Baseline": current, **names}, keys)
+    on_test = regression_metrics(test_scores, ["model"])
+    by_series = regression_metrics(test_scores, [*keys, "model"]) if keys else None
     on_train = regression_metrics(score_long(predict_all(fitted, train), names), ["model"])
     folds = spark.createDataFrame(
         [(name, float(s)) for name, scores in cv.items() for s in scores], "model string, rmse double"
@@ -260,7 +269,7 @@ def next_hour_experiment(
         .join(on_train.select("model", *[F.col(c).alias(f"train_{c}") for c in wanted]), "model", "left")
         .join(summary, "model", "left")
     )
-    return NextHourRun(fitted, columns, train, test, predictions, results, cv)
+    return NextHourRun(fitted, columns, train, test, predictions, results, cv, by_series)
 
 
 def best_model(results: DataFrame, score: str = "test_rmse") -> DataFrame:
@@ -277,6 +286,7 @@ class HorizonRun:
     metrics: DataFrame
     comparison: DataFrame | None
     fitted: list[Fitted]
+    series_metrics: DataFrame | None = None  # metrics per series and model
 
 
 def horizon_experiment(
@@ -286,14 +296,18 @@ def horizon_experiment(
     lag1: str | None,
     models: Sequence[Regressor],
     test_size: float = 0.2,
+    keys: Sequence[str] = (),
 ) -> HorizonRun:
     """One horizon: median imputation, lag-1 baseline, models, metrics and the DM comparison.
 
     The score tables have one row per model; they are fetched before the cached rows are dropped,
-    so a run over many horizons holds one horizon's rows at a time.
+    so a run over many horizons holds one horizon's rows at a time. The table per series grows with
+    the series and stays distributed; it reads the input again.
     """
     ranked = chronological_rank(
-        table.withColumn("y", F.col(target)).na.drop(subset=["y"]).select(HOUR, *columns, "y")
+        table.withColumn("y", F.col(target)).na.drop(subset=["y"]).select(*keys, HOUR, *columns, "y"),
+        keys,
+        hourly_keys=True,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     imputer = MedianImputer.fit(ranked.where(is_train(test_size)), columns)
     filled = imputer.transform(ranked)
@@ -306,7 +320,9 @@ def horizon_experiment(
         baseline = F.lit(train.agg(F.avg("y")).first()[0])
     scored = predict_all(fitted, test.withColumn("baseline", baseline))
     names = {"Naive baseline": "baseline", **{m.name: m.pred for m in fitted}}
-    metrics = rounded(regression_metrics(score_long(scored, names), ["model"], mape_above=1.0))
+    cells = score_long(scored, names, keys)
+    metrics = rounded(regression_metrics(cells, ["model"], mape_above=1.0))
+    by_series = rounded(regression_metrics(cells, [*keys, "model"], mape_above=1.0)) if keys else None
     preds = {m.name: m.pred for m in fitted}
     metrics = small_table(metrics)
     comparison = None
@@ -314,7 +330,7 @@ def horizon_experiment(
         comparison = small_table(dm_test(scored, preds["Gradient Boosting"], preds["Random Forest"]))
     train.unpersist()
     ranked.unpersist()
-    return HorizonRun(metrics, comparison, fitted)
+    return HorizonRun(metrics, comparison, fitted, by_series)
 
 
 def small_table(df: DataFrame) -> DataFrame:
@@ -328,12 +344,15 @@ def ablation(
     target: str,
     regressor: Regressor | None = None,
     test_size: float = 0.2,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """RMSE of cumulative feature groups at one horizon; medians are fitted once for all columns."""
     regressor = regressor or boosting()
     columns = list(dict.fromkeys(c for _, cols in sets for c in cols))
     ranked = chronological_rank(
-        table.withColumn("y", F.col(target)).na.drop(subset=["y"]).select(HOUR, *columns, "y")
+        table.withColumn("y", F.col(target)).na.drop(subset=["y"]).select(*keys, HOUR, *columns, "y"),
+        keys,
+        hourly_keys=True,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     imputer = MedianImputer.fit(ranked.where(is_train(test_size)), columns)
     filled = imputer.transform(ranked).persist(StorageLevel.MEMORY_AND_DISK)

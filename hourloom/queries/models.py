@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourloom.operators.grid import HOUR
+from hourloom.operators.grid import HOUR, hourly_long
 from hourloom.operators.profile import group_completeness
 from hourloom.operators.windows import add_features, lead
 from hourloom.plans import features as sets
@@ -16,7 +17,7 @@ from hourloom.plans.evaluation import chronological_rank, is_train, regression_m
 from hourloom.plans.reports import horizon_comparison as compare_horizons
 from hourloom.queries import inputs, query
 from hourloom.queries.features import MULTI_SOURCE_SQL, RICH_COLUMNS, rich_wide
-from hourloom.queries.inputs import WIDE, steady, steady_sql
+from hourloom.queries.inputs import MEAS, WIDE, mean_sql, steady, steady_sql
 from hourloom.settings import HORIZONS
 
 
@@ -72,6 +73,64 @@ def linear_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("model", "n_test", steady("rmse", 4).alias("rmse"))
 
 
+# Many series: pooled linear models of one feature, with split and folds by series, have closed forms as well.
+SERIES_KEYS = ["parameter", "site"]
+SITE_SERIES = f"""{MEAS}, per_ts AS (SELECT parameter, location % 3 AS site, ts, {mean_sql('value', 2)} AS v FROM meas GROUP BY ALL),
+hourly AS (SELECT parameter, site, date_trunc('hour', ts) AS h, {mean_sql('v', 6)} AS x FROM per_ts GROUP BY ALL),
+hours AS (SELECT parameter, site, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM hourly GROUP BY parameter, site),
+f AS (SELECT parameter, site, h, x, lead(x, 1) OVER (PARTITION BY parameter, site ORDER BY h) AS y
+  FROM hours LEFT JOIN hourly USING (parameter, site, h)),
+r AS (SELECT *, row_number() OVER (PARTITION BY parameter, site ORDER BY h) - 1 AS seq,
+  count(*) OVER (PARTITION BY parameter, site) AS n FROM f WHERE y IS NOT NULL),
+train AS (SELECT parameter, site, x, y, row_number() OVER (PARTITION BY parameter, site ORDER BY h) - 1 AS seq,
+  count(*) OVER (PARTITION BY parameter, site) AS n FROM r WHERE x IS NOT NULL AND seq < floor(n * 0.8)),
+test AS (SELECT * FROM r WHERE x IS NOT NULL AND seq >= floor(n * 0.8))"""
+
+
+def _closed_forms(train: str, by: str = "") -> str:
+    """Common table expressions s (moments) and w (weights) of the three linear models on a table with x and y."""
+    group, using = (f"GROUP BY {by}", f"USING ({by})") if by else ("", "ON true")
+    lead_in = f"{by}, " if by else ""
+    weights = [
+        ("Linear Regression", "zy / k"),
+        ("Ridge Regression", "zy / (k + 1.0)"),
+        ("Lasso Regression", "sign(zy) * greatest(abs(zy / k) - 0.1, 0)"),
+    ]
+    models_sql = " UNION ALL ".join(f"SELECT {lead_in}mx, sx, my, '{name}' AS model, {w} AS w FROM c" for name, w in weights)
+    return f"""s AS (SELECT {lead_in}avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS k FROM {train} {group}),
+c AS (SELECT {lead_in}mx, sx, my, k, sum((x - mx) / sx * (y - my)) AS zy FROM {train} JOIN s {using} GROUP BY ALL),
+w AS ({models_sql})"""
+
+
+def site_run(spark: SparkSession, sf_dir: str, n_splits: int) -> models.NextHourRun:
+    rows = inputs.measurements(spark, sf_dir).withColumn("site", F.col("location") % 3)
+    table = add_features(hourly_long(rows, SERIES_KEYS, **inputs.SCALES), [lead("y", "value", 1)], SERIES_KEYS)
+    linear = [models.ols(), models.ridge(), models.lasso()]
+    return models.next_hour_experiment(table, ["value"], "value", linear, n_splits, keys=SERIES_KEYS)
+
+
+@query(f"""WITH {SITE_SERIES}, {_closed_forms('train')},
+e AS (SELECT parameter, site, model, y - (my + w * (x - mx) / sx) AS e FROM test, w
+  UNION ALL SELECT parameter, site, 'Naive Baseline', y - x FROM test)
+SELECT parameter, site, model, count(*) AS n_test, {steady_sql('sqrt(avg(e * e))', 4)} AS rmse FROM e GROUP BY ALL""")
+def series_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled models over many series, split in time series by series and scored per series."""
+    run = site_run(spark, sf_dir, n_splits=0)
+    return run.series_results.select(*SERIES_KEYS, "model", "n_test", steady("rmse", 4).alias("rmse"))
+
+
+@query(f"""WITH {SITE_SERIES}, d AS (SELECT i AS fold, x, y, seq, n - (6 - i) * (n // 6) AS beg, n // 6 AS block
+  FROM train, (SELECT unnest(generate_series(1, 5)) AS i)),
+known AS (SELECT fold, x, y FROM d WHERE seq < beg), held AS (SELECT fold, x, y FROM d WHERE seq >= beg AND seq < beg + block),
+{_closed_forms('known', 'fold')},
+v AS (SELECT model, fold, sqrt(avg((y - (my + w * (x - mx) / sx)) ** 2)) AS rmse FROM held JOIN w USING (fold) GROUP BY ALL)
+SELECT model, {steady_sql('avg(rmse)', 4)} AS cv_rmse_mean, {steady_sql('stddev_pop(rmse)', 4)} AS cv_rmse_std FROM v GROUP BY model""")
+def series_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five expanding folds within each of many series, one pooled model per fold."""
+    scores = site_run(spark, sf_dir, n_splits=5).results.where(F.col("model") != "Naive Baseline")
+    return scores.select("model", *[steady(c, 4).alias(c) for c in ("cv_rmse_mean", "cv_rmse_std")])
+
+
 @query()
 def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = next_hour_run(spark, sf_dir, [models.forest(), models.boosting()])

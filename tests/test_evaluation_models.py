@@ -4,7 +4,7 @@ import pytest
 from frames import ar_daily
 from pyspark.sql import functions as F
 
-from hourloom.operators.windows import add_features, lead
+from hourloom.operators.windows import add_features, lag, lead
 from hourloom.plans import evaluation as ev
 from hourloom.plans import features as sets
 from hourloom.plans import models, reports
@@ -117,6 +117,58 @@ def test_next_hour_models_beat_persistence(spark):
     run.release()
 
 
+def two_series(spark):
+    """Series of unequal length that share hours, with next-hour and lag columns."""
+    grid = ar_daily(spark, 600).withColumn("series", F.lit("a"))
+    grid = grid.unionByName(ar_daily(spark, 240, seed=5).withColumn("series", F.lit("b")))
+    return add_features(grid, [lag("pm25_lag_1", "pm25", 1), lead("target_1h", "pm25", 1)], ["series"])
+
+
+def test_series_keep_their_own_split_and_scores(spark):
+    table = two_series(spark).withColumn("y", F.col("target_1h"))
+    run = models.next_hour_experiment(table, ["pm25"], "pm25", [models.ols()], n_splits=3, keys=["series"])
+    for series, n in (("a", 600), ("b", 240)):
+        train, test = (x.where(F.col("series") == series) for x in (run.train, run.test))
+        paired = table.where((F.col("series") == series) & F.col("y").isNotNull()).count()
+        assert train.count() <= int(paired * 0.8) < n and test.count() <= paired - int(paired * 0.8)
+        assert train.agg(F.max("hour_index")).first()[0] < test.agg(F.min("hour_index")).first()[0]
+        assert train.agg(F.max("seq")).first()[0] == train.count() - 1
+    pooled = {r.model: r.test_rmse for r in run.results.collect()}
+    parts = run.series_results.collect()
+    assert {(r.series, r.model) for r in parts} == {(s, m) for s in "ab" for m in pooled}
+    for model, rmse in pooled.items():
+        held = [(r.n_test, r.rmse) for r in parts if r.model == model]
+        assert sum(n * x * x for n, x in held) / sum(n for n, _ in held) == pytest.approx(rmse**2)
+    assert len(run.cv_scores["Linear Regression"]) == 3
+    run.release()
+
+
+def test_one_key_gives_the_run_without_keys(spark):
+    table = two_series(spark).where("series = 'a'").withColumn("y", F.col("target_1h"))
+    rows = []
+    for keys in ([], ["series"]):
+        run = models.next_hour_experiment(table, ["pm25"], "pm25", [models.ols(), models.ridge()], n_splits=3, keys=keys)
+        rows.append({r.model: (r.test_rmse, r.train_rmse, r.cv_rmse_mean, r.cv_rmse_std) for r in run.results.collect()})
+        run.release()
+    assert rows[0].keys() == rows[1].keys()
+    for model, values in rows[0].items():
+        assert values == pytest.approx(rows[1][model]), model
+
+
+def test_horizon_and_ablation_over_series(spark):
+    table = two_series(spark)
+    ridge = models.ridge(scaled=False, name="Ridge")
+    columns = ["pm25", "pm25_lag_1"]
+    run = models.horizon_experiment(table, columns, "target_1h", "pm25_lag_1", [ridge], keys=["series"])
+    pooled = {r.model: r.n_test for r in run.metrics.collect()}
+    parts = run.series_metrics.groupBy("model").agg(F.sum("n_test").alias("n"), F.count("*").alias("series")).collect()
+    assert {r.model: (r.n, r.series) for r in parts} == {m: (n, 2) for m, n in pooled.items()}
+    sizes = table.where("target_1h is not null").groupBy("series").count().collect()
+    assert pooled["Ridge"] == sum(r["count"] - int(r["count"] * 0.8) for r in sizes)
+    steps = models.ablation(table, [("now", ["pm25"]), ("with lag", columns)], "target_1h", ridge, keys=["series"])
+    assert [r.n_features for r in steps.orderBy("step").collect()] == [1, 2]
+
+
 def test_linear_models_match_closed_forms(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(400, 3)) * [1, 5, 0.2] + [0, 3, 1]
