@@ -272,7 +272,10 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, text_hash, n_shingles, fingerprint, component_id, kept."""
+    """One row per document row: doc_id, text_hash, n_shingles, fingerprint, root, component_id, kept.
+
+    root is the same for all rows of a component, and null for empty sets.
+    """
     rows = saved(sketches(docs))
     pick = F.min(F.struct("doc_id", "text_hash")).alias("pick")
     full = rows.where(F.col("n") > 0)
@@ -286,41 +289,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = classes.select("fingerprint", "lowest").join(roots, "fingerprint", "left")
     labelled = saved(labelled.withColumn("root", F.coalesce("root", "fingerprint")))
     names = labelled.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    named = labelled.join(names, "root").select("fingerprint", "component_id")
+    named = labelled.join(names, "root").select("fingerprint", "root", "component_id")
     out = rows.drop("registers").join(named, "fingerprint", "left")
     own = F.when(F.col("fingerprint").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "fingerprint", own.alias("component_id")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "fingerprint", "root", own.alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component: the one with the smallest doc_id, and of equal ones the first by text hash.
 
-    Rows of empty sets stay. All columns are kept.
+    Components are told apart by their root, since those of rows without doc_id share a null component_id
+    and unrelated texts can share a doc_id. Rows of empty sets stay. All columns are kept.
     """
     found = near_duplicates(docs)
-    keep = found.where(F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "component_id", "fingerprint"
-    )
-    keep = keep.distinct()
-    one = keep.groupBy("component_id").agg(F.min("_hash").alias("_hash"), F.min("_id").alias("_id"))
-    alone = keep.where(F.col("fingerprint").isNull()).select("component_id", "_hash", "_id")
-    chosen = one.unionByName(alone).select(
-        F.coalesce("_id", F.lit(0)).alias("_key"), F.col("_id").isNull().alias("_none"), "_hash"
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "times")).alias("pick")
+    one = rows.where(F.col("root").isNotNull()).groupBy("root").agg(first)
+    one = one.select("root", "pick.doc_id", "pick.text_hash", "pick.times")
+    chosen = saved(
+        one.unionByName(rows.where(F.col("root").isNull())).select(
+            "root",
+            "times",
+            F.coalesce("doc_id", F.lit(0)).alias("_key"),
+            F.col("doc_id").isNull().alias("_none"),
+            F.col("text_hash").alias("_hash"),
+        )
     )
     names = docs.columns
-    marked = docs.withColumns(
-        {
-            "_key": F.coalesce("doc_id", F.lit(0)),
-            "_none": F.col("doc_id").isNull(),
-            "_hash": F.xxhash64(F.col("text").cast("string")),
-        }
+    marked = docs.select(
+        F.struct(*names).alias("_row"),
+        F.coalesce("doc_id", F.lit(0)).alias("_key"),
+        F.col("doc_id").isNull().alias("_none"),
+        F.xxhash64(F.col("text").cast("string")).alias("_hash"),
     )
-    key = ["_key", "_none", "_hash"]  # plain keys: the window below reuses the partitioning of the join
-    kept = marked.join(chosen.distinct(), key)
-    again = W.partitionBy(*key).orderBy(*[F.col(c) for c in names if c != "text"])
-    return kept.withColumn("_again", F.row_number().over(again)).where(F.col("_again") == 1).select(*names)
+    key = ["_key", "_none", "_hash"]
+    single = F.col("root").isNull() | (F.col("times") == 1)
+    alone = marked.join(chosen.where(single).select(*key), key).select("_row.*")
+    # repeats of a picked row: each task of the join reduces its own to one before they meet
+    ordered = F.struct(*[n for n in names if n != "text"], "text")
+    again = marked.join(chosen.where(~single).select(*key, "root"), key).select("root", "_row.*")
+    again = again.groupBy("root").agg(F.min(ordered).alias("_row")).select("_row.*")
+    return alone.unionByName(again)
 
 
 def op3_digest(found: DataFrame) -> DataFrame:

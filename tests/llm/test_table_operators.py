@@ -142,6 +142,19 @@ def test_near_copies_edges(spark, edge_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0 and drop_near_duplicates(no_docs).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    one, two, three, four = (prose(80 + k, 30) for k in range(4))
+    ids = [None, None, None, None, 7, 7, 7, 7, 8, None, None, None, None, 9, 9]
+    texts = [one, two, two, three, one + " x", four, four, prose(90, 30), four, None, None, "", "", None, None]
+    kept = drop_near_duplicates(frame(spark, texts, ids, [f"s{i % 3}" for i in range(len(ids))]))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    want = [(7, one + " x"), (None, two), (None, three), (7, four), (7, prose(90, 30))]
+    want += [(None, None), (None, None), (None, ""), (None, ""), (9, None), (9, None)]
+    assert got == Counter(want)
+    same = frame(spark, [one] * 40 + [None] * 40, [None] * 80)
+    assert Counter(r["text"] for r in drop_near_duplicates(same).collect()) == {one: 1, None: 40}
+
+
 def test_registers_merge_and_agree_with_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
