@@ -43,7 +43,8 @@ LABELLED = 50_000  # bound on the labelled rows used
 MAX_TERMS = 2_000
 MIN_CONTEXTS = 4  # distinct preceding words in toxic rows, told apart by 63 slots
 MIN_Z = 5.0
-MIN_WEIGHT = 2.0  # log odds; leaves out words that merely lean to toxic rows, such as those of a language
+MIN_OTHER = 9  # non-toxic rows that every exception phrase has (at least 10 rows, 9 of 10 non-toxic), and so each of its words
+HELD_PHRASES = 200_000  # counted at once in a task
 FOLDS, HELD_OUT = 5, 0
 # fixed values: look-alike letters of Greek and Cyrillic, and signs that stand for letters
 LOOKALIKES = dict(zip("αβεηικνορτυχωаеорсухіѕјԁԛԝьктмнвгӏё", "abenikvoptuxwaeopcyxisjdqwbktmhbrie"))
@@ -113,8 +114,8 @@ def _teaching(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), same).select("text", "toxic")
 
 
-def learn_lexicon(teaching: DataFrame, n_toxic: int, n_other: int) -> dict[str, float]:
-    """Folded word -> weight, for words that toxic rows hold significantly more often."""
+def learn_lexicon(teaching: DataFrame, n_toxic: int, n_other: int) -> tuple[dict[str, float], set[str]]:
+    """Folded word -> weight, for words that toxic rows hold significantly more often; those too rare for exceptions."""
 
     def words(texts: pa.Array) -> pa.Array:
         out = []
@@ -138,29 +139,42 @@ def learn_lexicon(teaching: DataFrame, n_toxic: int, n_other: int) -> dict[str,
     share = (F.col("t") + F.col("c")) / float(n_toxic + n_other)
     deviation = F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))
     z = (F.col("t") / n_toxic - F.col("c") / n_other) / deviation
-    kept = counts.where(F.col("contexts") >= MIN_CONTEXTS).withColumns({"weight": odds, "z": z}).where(
-        (F.col("z") >= MIN_Z) & (F.col("weight") >= MIN_WEIGHT)
-    )
-    top = kept.orderBy(F.desc("z"), "word").limit(MAX_TERMS)  # the bound of the lexicon
-    return {r["word"]: r["weight"] for r in top.collect()}
-
-
-def learn_exceptions(teaching: DataFrame, lexicon: dict[str, float]) -> set[str]:
-    """Phrases of a term and its neighbour that occur in non-toxic rows at least nine times out of ten."""
-    terms = frozenset(lexicon)
-
-    def phrases(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            w = fold(text).split()
-            out.append(sorted({f"{a} {b}" for a, b in zip(w, w[1:]) if a in terms or b in terms}))
-        return pa.array(out, pa.list_(pa.string()))
-
-    udf = F.arrow_udf(phrases, "array<string>")
-    held = teaching.select("toxic", F.explode(udf("text")).alias("phrase"))
-    counts = held.groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    rare = counts.where((F.col("n") >= 10) & (10 * F.col("t") <= F.col("n"))).orderBy(F.desc("n"), "phrase").limit(MAX_TERMS)
-    return {r["phrase"] for r in rare.collect()}
+    kept = counts.where(F.col("contexts") >= MIN_CONTEXTS).withColumns({"weight": odds, "z": z}).where(F.col("z") >= MIN_Z)
+    top = kept.orderBy(F.desc("z"), "word").limit(MAX_TERMS).collect()  # the bound of the lexicon
+    return {r["word"]: r["weight"] for r in top}, {r["word"] for r in top if r["c"] < MIN_OTHER}
+
+
+def learn_exceptions(teaching: DataFrame, lexicon: dict[str, float], rare: set[str]) -> set[str]:
+    """Phrases of a term and its neighbour that occur in non-toxic rows at least nine times out of ten.
+
+    A phrase with a rare term cannot get there and is not counted. Each task counts its own phrases.
+    """
+    terms, rare = frozenset(lexicon), frozenset(rare)
+
+    def table(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        t, n = [x[0] for x in counts.values()], [x[1] for x in counts.values()]
+        columns = [pa.array(list(counts), pa.string()), pa.array(t, pa.int64()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["phrase", "t", "n"])
+
+    def phrases(batches):
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                w = fold(text).split()
+                near = {(a, b) for a, b in zip(w, w[1:]) if (a in terms or b in terms) and a not in rare and b not in rare}
+                for a, b in near:
+                    count = counts.setdefault(f"{a} {b}", [0, 0])
+                    count[0] += toxic
+                    count[1] += 1
+                if len(counts) >= HELD_PHRASES:
+                    yield table(counts)
+                    counts = {}
+        yield table(counts)
+
+    held = teaching.select("text", "toxic").mapInArrow(phrases, "phrase string, t bigint, n bigint")
+    counts = held.groupBy("phrase").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    kept = counts.where((F.col("n") >= 10) & (10 * F.col("t") <= F.col("n"))).orderBy(F.desc("n"), "phrase").limit(MAX_TERMS)
+    return {r["phrase"] for r in kept.collect()}
 
 
 @lru_cache(maxsize=2)
@@ -214,8 +228,8 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFram
     if not n or not n_toxic or n == n_toxic:
         base = docs.select("doc_id", held_out.alias("held_out"), F.lit(n_toxic / n if n else 0.0).alias("score"))
         return base.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    lexicon = learn_lexicon(teaching, n_toxic, n - n_toxic)
-    exceptions = learn_exceptions(teaching, lexicon) if lexicon else set()
+    lexicon, rare = learn_lexicon(teaching, n_toxic, n - n_toxic)
+    exceptions = learn_exceptions(teaching, lexicon, rare) if lexicon else set()
     udf = _features(lexicon, exceptions)
     told = teaching.select("toxic", udf("text").alias("f")).select("toxic", "f.*")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(told)

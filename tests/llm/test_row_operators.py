@@ -209,3 +209,18 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert drop_toxic(docs, labels).count() == 102
     assert {r["score"] for r in toxicity_score(edge_docs, labels.where("toxic = 0")).collect()} == {0.0}
     assert toxicity_score(no_docs, labels).count() == 0
+
+
+def test_diluted_words_stay_in_the_lexicon(spark):
+    ids = [i for i in range(1000) if not held_out(i)][:600]
+    texts, toxic = [], []
+    for k, i in enumerate(ids):  # 300 toxic rows, 240 with tarnok alone; 300 others, 120 with the harmless phrase
+        word = ("tarnok" if k < 240 else "gorvat" if k < 300 else "tarnok fish" if k < 420 else "gorvat moss" if k < 429 else "")
+        texts.append(f"{prose(i, 12)} {'gorvat moss' if k == 299 else word} {prose(i + 5000, 12)}")
+        toxic.append(int(k < 300))
+    labels = spark.createDataFrame([(i, 1, y) for i, y in zip(ids, toxic)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["hit"] for r in toxicity_score(frame(spark, texts, ids), labels).collect()}
+    hit = [got[i] for i in ids]
+    assert hit[:299] == [1.0] * 299  # log odds of tarnok are below 2
+    assert hit[300:420] == [0.0] * 120  # its harmless phrase
+    assert hit[299] == 0.0 and hit[420:429] == [0.0] * 9  # 9 of the phrase's 10 rows are non-toxic
