@@ -10,8 +10,8 @@ from hourloom.queries.models import next_hour_run
 
 
 def best_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Residuals of the linear model with the lowest test error."""
-    run = next_hour_run(spark, sf_dir, [models.ols(), models.ridge(), models.lasso()])
+    """Residuals of the model with the lowest test error of all five."""
+    run = next_hour_run(spark, sf_dir, models.next_hour_models())
     best = models.best_model(run.results).first()["model"]
     column = next(m.pred for m in run.fitted if m.name == best)
     return reports.residuals(run.predictions, column)
