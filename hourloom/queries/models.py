@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -21,31 +22,47 @@ from hourloom.queries.inputs import MEAS, WIDE, mean_sql, steady, steady_sql
 from hourloom.settings import HORIZONS
 
 
-def next_hour_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    wanted = sets.next_hour_features("pm25", "pm10")
-    table = add_features(inputs.wide(spark, sf_dir), [*wanted, lead("y", "pm25", 1)], keep=[HOUR, "pm25"])
+# target: companion series and its lags
+NEXT_HOUR = {"pm25": ("pm10", (1, 24)), "pm10": ("pm25", (1,))}
+
+
+def next_hour_table(spark: SparkSession, sf_dir: str, target: str) -> tuple[DataFrame, list[str]]:
+    wanted = sets.next_hour_features(target, *NEXT_HOUR[target])
+    table = add_features(inputs.wide(spark, sf_dir), [*wanted, lead("y", target, 1)], keep=[HOUR, target])
     # the current value is known whenever its change is, so complete cases imply it
     return table, [f.name for f in wanted]
 
 
-def next_hour_run(spark: SparkSession, sf_dir: str, regressors: list, n_splits: int = 0) -> models.NextHourRun:
-    table, columns = next_hour_table(spark, sf_dir)
-    return models.next_hour_experiment(table, columns, "pm25", regressors, n_splits=n_splits)
+def next_hour_run(
+    spark: SparkSession, sf_dir: str, regressors: list, n_splits: int = 0, target: str = "pm25"
+) -> models.NextHourRun:
+    table, columns = next_hour_table(spark, sf_dir, target)
+    return models.next_hour_experiment(table, columns, target, regressors, n_splits=n_splits)
+
+
+def each_pollutant(table_of: Callable[[str], DataFrame], pollutants: Iterable[str] = NEXT_HOUR) -> DataFrame:
+    """The tables of all pollutants, told apart by a column."""
+    tables = [table_of(t).select(F.lit(t).alias("pollutant"), "*") for t in pollutants]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def next_hour_results(spark: SparkSession, sf_dir: str, regressors: list, n_splits: int = 0) -> DataFrame:
+    return each_pollutant(lambda t: next_hour_run(spark, sf_dir, regressors, n_splits, t).results)
 
 
 @query()
 def fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_hour_run(spark, sf_dir, [models.ols(), models.ridge(), models.lasso()], n_splits=5).results
+    return next_hour_results(spark, sf_dir, [models.ols(), models.ridge(), models.lasso()], n_splits=5)
 
 
 @query()
 def fit_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_hour_run(spark, sf_dir, [models.forest()]).results
+    return next_hour_results(spark, sf_dir, [models.forest()])
 
 
 @query()
 def fit_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_hour_run(spark, sf_dir, [models.boosting()]).results
+    return next_hour_results(spark, sf_dir, [models.boosting()])
 
 
 # With one standardised feature all three linear models have closed forms in plain aggregates.
@@ -133,21 +150,24 @@ def series_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = next_hour_run(spark, sf_dir, [models.forest(), models.boosting()])
-    tops = [models.top_features(m.importances(spark), 10) for m in run.fitted]
-    return reduce(DataFrame.unionByName, tops)
+    def tops(target: str) -> DataFrame:
+        run = next_hour_run(spark, sf_dir, [models.forest(), models.boosting()], target=target)
+        return reduce(DataFrame.unionByName, [models.top_features(m.importances(spark), 10) for m in run.fitted])
+
+    return each_pollutant(tops)
 
 
 @query()
 def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five models with expanding-window cross-validation and the persistence row."""
-    return next_hour_run(spark, sf_dir, models.next_hour_models(), n_splits=5).results
+    return next_hour_results(spark, sf_dir, models.next_hour_models(), n_splits=5)
 
 
 @query()
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest test error of all five models."""
-    return models.best_model(next_hour_run(spark, sf_dir, models.next_hour_models()).results)
+    regressors = models.next_hour_models()
+    return each_pollutant(lambda t: models.best_model(next_hour_run(spark, sf_dir, regressors, target=t).results))
 
 
 def multi_source_table(spark: SparkSession, sf_dir: str, target: str) -> tuple[DataFrame, list]:
@@ -177,11 +197,14 @@ def horizon_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, wanted = multi_source_table(spark, sf_dir, "pm25")
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    scores = models.ablation(table, sets.ablation_sets(wanted), "target_1h", models.boosting())
-    table.unpersist()
-    return scores
+    def scores(target: str) -> DataFrame:
+        table, wanted = multi_source_table(spark, sf_dir, target)
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        scored = models.ablation(table, sets.ablation_sets(wanted), "target_1h", models.boosting())
+        table.unpersist()
+        return scored
+
+    return each_pollutant(scores)
 
 
 def _groups_sql() -> str:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hourloom.plans import models, reports
 from hourloom.queries import query
-from hourloom.queries.models import next_hour_run
+from hourloom.queries.models import each_pollutant, next_hour_run
 
 
-def best_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_residuals(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
     """Residuals of the model with the lowest test error of all five."""
-    run = next_hour_run(spark, sf_dir, models.next_hour_models())
+    run = next_hour_run(spark, sf_dir, models.next_hour_models(), target=target)
     best = models.best_model(run.results).first()["model"]
     column = next(m.pred for m in run.fitted if m.name == best)
     return reports.residuals(run.predictions, column)
@@ -19,19 +19,19 @@ def best_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def residual_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_residuals(spark, sf_dir)
+    return each_pollutant(lambda t: best_residuals(spark, sf_dir, t))
 
 
 @query()
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.residual_histogram(best_residuals(spark, sf_dir), 50)
+    return each_pollutant(lambda t: reports.residual_histogram(best_residuals(spark, sf_dir, t), 50))
 
 
 @query()
 def residual_qq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.residual_qq(best_residuals(spark, sf_dir))
+    return each_pollutant(lambda t: reports.residual_qq(best_residuals(spark, sf_dir, t)))
 
 
 @query()
 def predicted_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.predicted_vs_actual(best_residuals(spark, sf_dir))
+    return each_pollutant(lambda t: reports.predicted_vs_actual(best_residuals(spark, sf_dir, t)))
