@@ -57,12 +57,12 @@ def fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fit_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_hour_results(spark, sf_dir, [models.forest()])
+    return next_hour_results(spark, sf_dir, [models.forest()], n_splits=5)
 
 
 @query()
 def fit_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_hour_results(spark, sf_dir, [models.boosting()])
+    return next_hour_results(spark, sf_dir, [models.boosting()], n_splits=5)
 
 
 # With one standardised feature all three linear models have closed forms in plain aggregates.

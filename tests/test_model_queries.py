@@ -29,6 +29,17 @@ def test_best_model_is_chosen_among_all_five(spark, monkeypatch, name):
 NEXT_HOUR = ["fit_linear", "fit_forest", "fit_boosting", "results_table", "importance_topk"]
 
 
+@pytest.mark.parametrize("name", ["fit_linear", "fit_forest", "fit_boosting", "results_table"])
+def test_fits_are_cross_validated(spark, monkeypatch, name):
+    def experiment(table, columns, current, regressors, n_splits=5, **options):
+        raise Asked(n_splits)
+
+    monkeypatch.setattr(models, "next_hour_experiment", experiment)
+    with pytest.raises(Asked) as asked:
+        RUNS[name](spark, "/root/testdata/sf0.001")
+    assert asked.value.args[0] == 5
+
+
 @pytest.mark.parametrize("name", [*NEXT_HOUR, *BEST])
 def test_next_hour_queries_cover_both_pollutants(spark, monkeypatch, name):
     whole, asked = models.next_hour_experiment, []
