@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hourloom.llm import sql
 from hourloom.llm.chat import op6_digest, round_trip, with_adversary
+from hourloom.llm.codes import compress, op12_digest
 from hourloom.llm.decontaminate import contamination, op1_digest
+from hourloom.llm.infill import infill, op13_digest
 from hourloom.llm.mixing import op9_digest, plan
 from hourloom.llm.neardup import near_duplicates, op3_digest
 from hourloom.llm.quality import score as quality_score
@@ -94,6 +96,16 @@ def op10_quality(spark, sf_dir):
     return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+@query(sql.OP12)
+def op12_vector_codes(spark, sf_dir):
+    return op12_digest(*compress(table(spark, sf_dir, "embeddings")))
+
+
+@query(sql.OP13)
+def op13_infill(spark, sf_dir):
+    return op13_digest(infill(table(spark, sf_dir, "documents")))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -59,3 +59,57 @@ joined AS (
   FROM shown GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM joined"""
+
+
+def _near(n: int) -> str:
+    """The nearest entry of every part under codebook n, ties to the lower index."""
+    gap = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v, c)])"
+    return f"""near{n} AS (SELECT row_id, p, any_value(v) AS v, arg_min(e, gap * 64 + e) AS e, min(gap) AS gap
+  FROM (SELECT row_id, p, v, e, {gap} AS gap FROM parts JOIN book{n} USING (p)) GROUP BY ALL)"""
+
+
+def _refined(n: int) -> str:
+    """Codebook n + 1: floored means of the parts, unused entries as they were."""
+    return f"""cells{n} AS (SELECT p, e, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS x
+  FROM near{n}, (SELECT unnest(range(1, 5)) AS i) GROUP BY p, e, i),
+book{n + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{n} b
+  LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS c FROM cells{n} GROUP BY p, e) m USING (p, e))"""
+
+
+# 64 components: 16 parts of 4
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, label, [CAST(floor(256 * x) AS BIGINT) for x in embedding] AS v
+  FROM embeddings WHERE len(embedding) > 0 AND list_bool_and([coalesce(isfinite(x), false) for x in embedding])),
+parts AS MATERIALIZED (SELECT row_id, p, v[4 * p + 1:4 * p + 4] AS v FROM kept, (SELECT unnest(range(16)) AS p)),
+book0 AS (SELECT p, e, k.v[4 * p + 1:4 * p + 4] AS c
+  FROM (SELECT v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < 64) k,
+    (SELECT unnest(range(16)) AS p)),
+{_near(0)}, {_refined(0)}, {_near(1)}, {_refined(1)}, {_near(2)},
+coded AS (SELECT row_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(gap) AS BIGINT) AS error
+  FROM near2 GROUP BY row_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  sha256((SELECT string_agg(array_to_string(c, ','), ',' ORDER BY p, e) FROM book2)) AS codebooks_sha256
+FROM coded JOIN kept USING (row_id)"""
+
+
+OP13 = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM units),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+         WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+pieces AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix
+  FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM pieces"""
