@@ -14,6 +14,7 @@ from hourloom.llm.decontaminate import contamination, op1_digest
 from hourloom.llm.infill import infill, op13_digest
 from hourloom.llm.mixing import op9_digest, plan
 from hourloom.llm.neardup import near_duplicates, op3_digest
+from hourloom.llm.personal import find, op11_digest
 from hourloom.llm.quality import score as quality_score
 from hourloom.llm.repetition import measure
 from hourloom.llm.secrets import op2_digest, scan
@@ -96,6 +97,11 @@ def op10_quality(spark, sf_dir):
     return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+@query()
+def op11_personal(spark, sf_dir):
+    return op11_digest(find(table(spark, sf_dir, "documents")))
+
+
 @query(sql.OP12)
 def op12_vector_codes(spark, sf_dir):
     return op12_digest(*compress(table(spark, sf_dir, "embeddings")))

@@ -7,19 +7,12 @@ import re
 
 import numpy as np
 import pytest
-from compare import compare, oracle_connection
-from llm_fixtures import EDGES, SF, frame, prose
+from llm_fixtures import frame, prose
 
-from hourloom.llm import queries
 from hourloom.llm.codes import HOT, compress, decoded, limit, nearest, op12_digest, with_label_error
 from hourloom.llm.infill import ERROR, RankIndex, boundaries, infill, op13_digest, rank_index, rearrange
 
 
-@pytest.mark.parametrize("name", ["op12_vector_codes", "op13_infill"])
-def test_query_equals_sql(spark, name):
-    assert compare(spark, SF, queries.RUNNERS[name], queries.SQL[name], oracle_connection(SF)) is None
-
-
 def brute_infill(doc_id, text):
     text = text or ""
     units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
