@@ -65,6 +65,17 @@ def fold_role(fold: Column, n_splits: int = 5) -> Column:
     return F.when(F.col("seq") < start, "train").when(F.col("seq") < start + block, "validate")
 
 
+def fold_block(n_splits: int = 5) -> Column:
+    """0 for rows before every validation block, else the number of the fold that validates on the row.
+
+    Fold i trains on the blocks below i. Needs seq and n_rows.
+    """
+    block = floor_div_col(F.col("n_rows"), n_splits + 1)
+    first = F.col("n_rows") - n_splits * block
+    later = F.call_function("div", F.col("seq") - first, F.nullif(block, F.lit(0).cast("bigint"))) + 1
+    return F.when(F.col("seq") < first, 0).otherwise(F.coalesce(later, F.lit(0))).cast("int")
+
+
 def floor_div_col(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by).cast("bigint"))
 

@@ -1,7 +1,8 @@
-"""MLlib regressors with mapped parameters, and the experiment loops built on them.
+"""Linear models from moments, MLlib trees, and the experiments built on them.
 
-Loops run on the driver and submit one training job after another over one persisted feature table;
-predictions of all models are chained on one frame, so every score table is a single aggregation.
+Linear models and all their folds come from one aggregation. Tree fits (models, folds, horizons, targets)
+are independent and submitted together over one stored table of assembled vectors. Predictions of all
+models are chained on one frame, so every score table is a single aggregation.
 
 keys name the series of a table that holds many: a key has one row per hour at most. Rank, split and
 folds then follow each series on its own, one model learns from the training rows of all of them, and
@@ -10,27 +11,30 @@ scores come for all rows together and per series. Without keys the table is one
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Hashable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.operators.grid import HOUR
+from hourloom.operators.moments import Moments, block_moments, total
 from hourloom.plans.evaluation import (
     MedianImputer,
-    Standardiser,
     chronological_rank,
     dm_test,
+    fold_block,
     fold_role,
     is_train,
     regression_metrics,
     rounded,
 )
+from hourloom.plans.linear import Plane, Solver, expanding_scores, lasso_solver, least_squares, ridge_solver, solve_plane
+from hourloom.plans.runner import Job, run_jobs, stored, vector_table
 from hourloom.settings import RANDOM_SEED
 
 # --- Fixed values: model sizes and penalties ---------------------------------------------------------
@@ -44,50 +48,25 @@ BOOSTING_SUBSAMPLE = 0.8
 
 @dataclass
 class Regressor:
-    """A named estimator factory over (train frame, feature vector column)."""
+    """A named way to fit: a solver over moments, or a factory of an MLlib estimator."""
 
     name: str
-    build: Callable[[DataFrame], object]
+    build: Callable[[], object] | None = None
+    solver: Solver | None = None
     scaled: bool = False
-
-
-def _label_stats(train: DataFrame) -> tuple[int, float]:
-    row = train.agg(F.count("y"), F.stddev_pop("y")).first()
-    return row[0], row[1] or 0.0
+    cost: float = 1.0  # relative training time, longest fits start first
 
 
 def ols() -> Regressor:
-    return Regressor(
-        "Linear Regression",
-        lambda train: LinearRegression(labelCol="y", solver="normal", regParam=0.0, standardization=False),
-        scaled=True,
-    )
+    return Regressor("Linear Regression", solver=least_squares, scaled=True)
 
 
 def ridge(alpha: float = RIDGE_ALPHA, scaled: bool = True, name: str = "Ridge Regression") -> Regressor:
-    """Ridge with a penalty on the sum of squares.
-
-    The normal-equation solver divides the label by its deviation, so alpha becomes
-    alpha / n * deviation(y).
-    """
-
-    def build(train: DataFrame) -> LinearRegression:
-        n, spread = _label_stats(train)
-        return LinearRegression(
-            labelCol="y", solver="normal", regParam=alpha / n * spread, elasticNetParam=0.0, standardization=False
-        )
-
-    return Regressor(name, build, scaled)
+    return Regressor(name, solver=ridge_solver(alpha), scaled=scaled)
 
 
 def lasso(alpha: float = LASSO_ALPHA, max_iter: int = 1000) -> Regressor:
-    return Regressor(
-        "Lasso Regression",
-        lambda train: LinearRegression(
-            labelCol="y", regParam=alpha, elasticNetParam=1.0, standardization=False, maxIter=max_iter, tol=1e-6
-        ),
-        scaled=True,
-    )
+    return Regressor("Lasso Regression", solver=lasso_solver(alpha, max_iter), scaled=True)
 
 
 def forest(min_leaf: int = FOREST_MIN_LEAF, **size) -> Regressor:
@@ -95,13 +74,14 @@ def forest(min_leaf: int = FOREST_MIN_LEAF, **size) -> Regressor:
     options = {**FOREST, **size}
     return Regressor(
         "Random Forest",
-        lambda train: RandomForestRegressor(
+        lambda: RandomForestRegressor(
             labelCol="y",
             minInstancesPerNode=min_leaf,
             featureSubsetStrategy="all",
             seed=RANDOM_SEED,
             **options,
         ),
+        cost=options["maxDepth"],
     )
 
 
@@ -109,9 +89,10 @@ def boosting(subsample: float = 1.0, **size) -> Regressor:
     options = {**BOOSTING, **size}
     return Regressor(
         "Gradient Boosting",
-        lambda train: GBTRegressor(
+        lambda: GBTRegressor(
             labelCol="y", subsamplingRate=subsample, featureSubsetStrategy="all", seed=RANDOM_SEED, **options
         ),
+        cost=options["maxIter"] * options["maxDepth"],
     )
 
 
@@ -129,12 +110,11 @@ def horizon_models(trees: int = FOREST["numTrees"], rounds: int = BOOSTING["maxI
 
 @dataclass
 class Fitted:
-    """A trained model together with the scaling it needs."""
+    """A trained model and the columns it reads."""
 
     name: str
-    model: Model
+    model: Model | Plane
     columns: list[str]
-    scaler: Standardiser | None = None
 
     @property
     def pred(self) -> str:
@@ -142,14 +122,15 @@ class Fitted:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Append this model's prediction column and keep everything else."""
-        prefix = "_z_" if self.scaler else ""
-        inputs = self.scaler.transform(df, prefix) if self.scaler else df
+        if isinstance(self.model, Plane):
+            return df.withColumn(self.pred, self.model.column(self.columns))
         vector = f"_x_{self.pred}"
-        assembled = VectorAssembler(
-            inputCols=[prefix + c for c in self.columns], outputCol=vector
-        ).transform(inputs)
+        assembled = VectorAssembler(inputCols=self.columns, outputCol=vector).transform(df)
+        return self.predict_vectors(assembled, vector).select(*df.columns, self.pred)
+
+    def predict_vectors(self, df: DataFrame, vector: str = "features") -> DataFrame:
         self.model.setFeaturesCol(vector).setPredictionCol(self.pred)
-        return self.model.transform(assembled).select(*df.columns, self.pred)
+        return self.model.transform(df)
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """(model, feature, importance) for tree models; empty for linear ones."""
@@ -160,19 +141,24 @@ class Fitted:
         return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-def fit(
-    regressor: Regressor, train: DataFrame, columns: Sequence[str], scaler: Standardiser | None = None
-) -> Fitted:
-    """Train on complete rows; the label column is y.
-
-    A scaler already fitted on the same rows saves scaled models their own pass.
-    """
+def fit(regressor: Regressor, train: DataFrame, columns: Sequence[str]) -> Fitted:
+    """Train on complete rows; the label column is y."""
     columns = list(columns)
-    scaler = (scaler or Standardiser.fit(train, columns)) if regressor.scaled else None
-    inputs = scaler.transform(train) if scaler else train
-    vector = VectorAssembler(inputCols=columns, outputCol="features").transform(inputs).select("features", "y")
-    estimator = regressor.build(train)
-    return Fitted(regressor.name, estimator.fit(vector), columns, scaler)
+    if regressor.solver:
+        moments = total(block_moments(train, [*columns, "y"]).values(), len(columns) + 1)
+        return fit_moments(regressor, moments, columns)
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(train).select("features", "y")
+    return fit_vectors(regressor, vectors, columns)
+
+
+def fit_moments(regressor: Regressor, moments: Moments, columns: Sequence[str]) -> Fitted:
+    """A linear model out of the moments of the columns and y."""
+    return Fitted(regressor.name, solve_plane(regressor.solver, moments, regressor.scaled), list(columns))
+
+
+def fit_vectors(regressor: Regressor, vectors: DataFrame, columns: Sequence[str]) -> Fitted:
+    """A tree model on rows of (features, y)."""
+    return Fitted(regressor.name, regressor.build().fit(vectors), list(columns))
 
 
 def score_long(df: DataFrame, predictions: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
@@ -187,16 +173,50 @@ def predict_all(models: Sequence[Fitted], df: DataFrame) -> DataFrame:
     return df
 
 
-def cross_validate(regressor: Regressor, train: DataFrame, columns: Sequence[str], n_splits: int = 5) -> list[float]:
-    """RMSE of a fresh model per expanding fold; train carries seq and n_rows counted over the training rows."""
-    scores = []
-    for fold in range(1, n_splits + 1):
-        role = fold_role(F.lit(fold), n_splits)
-        fold_model = fit(regressor, train.where(role == "train"), columns)
-        held_out = train.where(role == "validate")
-        scored = regression_metrics(fold_model.predict(held_out).withColumnRenamed(fold_model.pred, "pred"))
-        scores.append(scored.first()["rmse"])
-    return scores
+def fold_score(regressor: Regressor, vectors: DataFrame, columns: Sequence[str], fold: int, n_splits: int) -> float:
+    """RMSE of a fresh tree model on one expanding fold of (features, y, seq, n_rows)."""
+    role = fold_role(F.lit(fold), n_splits)
+    fold_model = fit_vectors(regressor, vectors.where(role == "train"), columns)
+    scored = fold_model.predict_vectors(vectors.where(role == "validate"))
+    return regression_metrics(scored, pred=fold_model.pred).first()["rmse"]
+
+
+def fit_all(
+    regressors: Sequence[Regressor], train: DataFrame, columns: Sequence[str], n_splits: int = 0
+) -> tuple[list[Fitted], dict[str, list[float]]]:
+    """All models on all rows of train, and the RMSE of each expanding fold.
+
+    train carries y, seq and n_rows. Linear models share one pass over the fold blocks; tree fits run
+    together over one table of vectors.
+    """
+    spark, columns = train.sparkSession, list(columns)
+    fitted: dict[str, Fitted] = {}
+    scores: dict[str, list[float]] = {m.name: [] for m in regressors}
+    linear = [m for m in regressors if m.solver]
+    if linear:
+        blocks = block_moments(train, [*columns, "y"], fold_block(n_splits) if n_splits else None)
+        moments = total((blocks[b] for b in sorted(blocks)), len(columns) + 1)
+        for m in linear:
+            fitted[m.name] = fit_moments(m, moments, columns)
+            scores[m.name] = expanding_scores(m.solver, blocks, n_splits, m.scaled)
+    trees = [m for m in regressors if not m.solver]
+    if trees:
+        n = train.count()
+        vectors = vector_table(train, columns, ["y", "seq", "n_rows"], n)
+        jobs = [Job((m.name, 0), lambda m=m: fit_vectors(m, vectors.select("features", "y"), columns), m.cost) for m in trees]
+        if n > n_splits:  # folds of fewer rows are empty
+            jobs += [
+                Job((m.name, i), lambda m=m, i=i: fold_score(m, vectors, columns, i, n_splits), m.cost * i / (n_splits + 1))
+                for m in trees
+                for i in range(1, n_splits + 1)
+            ]
+        for (name, fold), result in run_jobs(spark, jobs).items():
+            if fold:
+                scores[name].append(result)
+            else:
+                fitted[name] = result
+        vectors.unpersist()
+    return [fitted[m.name] for m in regressors], scores
 
 
 @dataclass
@@ -213,7 +233,7 @@ class NextHourRun:
     series_results: DataFrame | None = None  # test metrics per series and model
 
     def release(self) -> None:
-        """Drop the cached train and test rows once predictions and results are written."""
+        """Drop the cached train and test rows; results and predictions do not need them."""
         self.train.unpersist()
         self.test.unpersist()
 
@@ -245,14 +265,10 @@ def next_hour_experiment(
         rows.count()  # fill the cache before the input is let go
     source.unpersist()
 
-    fitted, cv = [], {}
-    scaler = Standardiser.fit(train, columns) if any(m.scaled for m in models) else None
-    for regressor in models:
-        fitted.append(fit(regressor, train, columns, scaler))
-        cv[regressor.name] = cross_validate(regressor, train, columns, n_splits) if n_splits else []
-
+    fitted, cv = fit_all(models, train, columns, n_splits)
     predictions = predict_all(fitted, test)
     names = {m.name: m.pred for m in fitted}
+    predictions = stored(predictions.select(*keys, HOUR, *dict.fromkeys([current, "y", *names.values()])))
     test_scores = score_long(predictions, {"Naive Baseline": current, **names}, keys)
     on_test = regression_metrics(test_scores, ["model"])
     by_series = regression_metrics(test_scores, [*keys, "model"]) if keys else None
@@ -269,7 +285,7 @@ def next_hour_experiment(
         .join(on_train.select("model", *[F.col(c).alias(f"train_{c}") for c in wanted]), "model", "left")
         .join(summary, "model", "left")
     )
-    return NextHourRun(fitted, columns, train, test, predictions, results, cv, by_series)
+    return NextHourRun(fitted, columns, train, test, predictions, small_table(results), cv, by_series)
 
 
 def best_model(results: DataFrame, score: str = "test_rmse") -> DataFrame:
@@ -289,48 +305,118 @@ class HorizonRun:
     series_metrics: DataFrame | None = None  # metrics per series and model
 
 
-def horizon_experiment(
+@dataclass
+class HorizonTable:
+    """The prepared rows of one target and horizon."""
+
+    columns: list[str]
+    train: DataFrame
+    test: DataFrame
+    vectors: DataFrame
+    moments: Moments | None
+    baseline: Column
+    held: list[DataFrame]
+    keys: tuple[str, ...] = ()
+
+    def fit(self, regressor: Regressor) -> Fitted:
+        if regressor.solver:
+            return fit_moments(regressor, self.moments, self.columns)
+        return fit_vectors(regressor, self.vectors, self.columns)
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
+def prepare_horizon(
     table: DataFrame,
     columns: Sequence[str],
     target: str,
     lag1: str | None,
-    models: Sequence[Regressor],
+    linear: bool = True,
     test_size: float = 0.2,
     keys: Sequence[str] = (),
-) -> HorizonRun:
-    """One horizon: median imputation, lag-1 baseline, models, metrics and the DM comparison.
-
-    The score tables have one row per model; they are fetched before the cached rows are dropped,
-    so a run over many horizons holds one horizon's rows at a time. The table per series grows with
-    the series and stays distributed; it reads the input again.
-    """
+) -> HorizonTable:
+    """Split in time, impute with training medians, assemble vectors and sum products."""
     ranked = chronological_rank(
         table.withColumn("y", F.col(target)).na.drop(subset=["y"]).select(*keys, HOUR, *columns, "y"),
         keys,
         hourly_keys=True,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     imputer = MedianImputer.fit(ranked.where(is_train(test_size)), columns)
-    filled = imputer.transform(ranked)
-    train = filled.where(is_train(test_size)).persist(StorageLevel.MEMORY_AND_DISK)
-    test = filled.where(~is_train(test_size))
-    fitted = [fit(m, train, imputer.columns) for m in models]
-    if lag1 in imputer.medians:
-        baseline = F.col(lag1)
-    else:
-        baseline = F.lit(train.agg(F.avg("y")).first()[0])
-    scored = predict_all(fitted, test.withColumn("baseline", baseline))
-    names = {"Naive baseline": "baseline", **{m.name: m.pred for m in fitted}}
-    cells = score_long(scored, names, keys)
-    metrics = rounded(regression_metrics(cells, ["model"], mape_above=1.0))
-    by_series = rounded(regression_metrics(cells, [*keys, "model"], mape_above=1.0)) if keys else None
-    preds = {m.name: m.pred for m in fitted}
-    metrics = small_table(metrics)
-    comparison = None
-    if {"Gradient Boosting", "Random Forest"} <= set(preds):
-        comparison = small_table(dm_test(scored, preds["Gradient Boosting"], preds["Random Forest"]))
-    train.unpersist()
+    filled = imputer.transform(ranked).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = filled.where(is_train(test_size)), filled.where(~is_train(test_size))
+    n, mean = train.agg(F.count(F.lit(1)), F.avg("y")).first()
     ranked.unpersist()
-    return HorizonRun(metrics, comparison, fitted, by_series)
+    vectors = vector_table(train, imputer.columns, ["y"], n)
+    width = len(imputer.columns) + 1
+    moments = total(block_moments(train, [*imputer.columns, "y"]).values(), width) if linear else None
+    baseline = F.col(lag1) if lag1 in imputer.medians else F.lit(mean)
+    return HorizonTable(imputer.columns, train, test, vectors, moments, baseline, [filled, vectors], tuple(keys))
+
+
+def score_horizon(prepared: HorizonTable, fitted: Sequence[Fitted]) -> HorizonRun:
+    """Metrics of all models and the lag-1 baseline on the test rows, and the comparison of the tree models."""
+    names = {m.name: m.pred for m in fitted}
+    scored = predict_all(fitted, prepared.test.withColumn("baseline", prepared.baseline))
+    scored = stored(scored.select(*prepared.keys, "y", "baseline", *names.values()))
+    cells = score_long(scored, {"Naive baseline": "baseline", **names}, prepared.keys)
+    metrics = small_table(rounded(regression_metrics(cells, ["model"], mape_above=1.0)))
+    by_series = None
+    if prepared.keys:
+        by_series = rounded(regression_metrics(cells, [*prepared.keys, "model"], mape_above=1.0))
+    comparison = None
+    if {"Gradient Boosting", "Random Forest"} <= set(names):
+        comparison = small_table(dm_test(scored, names["Gradient Boosting"], names["Random Forest"]))
+    return HorizonRun(metrics, comparison, list(fitted), by_series)
+
+
+def horizon_experiments(
+    asked: Sequence[tuple[Hashable, DataFrame, Sequence[str], str, str | None]],
+    models: Sequence[Regressor],
+    test_size: float = 0.2,
+    keys: Sequence[str] = (),
+) -> dict[Hashable, HorizonRun]:
+    """Runs by name for (name, table, columns, target, lag1): prepared, fitted and scored together.
+
+    Every fit of every name is one job of the pool, the longest first. The rows of all names asked for
+    together are held at once.
+    """
+    if not asked:
+        return {}
+    spark = asked[0][1].sparkSession
+    linear = any(m.solver for m in models)
+    prepared = run_jobs(
+        spark,
+        [Job(name, lambda t=t, c=c, y=y, l=l: prepare_horizon(t, c, y, l, linear, test_size, keys)) for name, t, c, y, l in asked],
+    )
+    fits = run_jobs(
+        spark,
+        [Job((name, i), lambda p=p, m=m: p.fit(m), m.cost) for name, p in prepared.items() for i, m in enumerate(models)],
+    )
+    runs = run_jobs(
+        spark,
+        [
+            Job(name, lambda p=p, name=name: score_horizon(p, [fits[(name, i)] for i in range(len(models))]))
+            for name, p in prepared.items()
+        ],
+    )
+    for p in prepared.values():
+        p.release()
+    return runs
+
+
+def horizon_experiment(
+    table: DataFrame,
+    columns: Sequence[str],
+    target: str,
+    lag1: str | None,
+    models: Sequence[Regressor],
+    test_size: float = 0.2,
+    keys: Sequence[str] = (),
+) -> HorizonRun:
+    """One horizon: median imputation, lag-1 baseline, models, metrics and the DM comparison."""
+    return horizon_experiments([(0, table, columns, target, lag1)], models, test_size, keys)[0]
 
 
 def small_table(df: DataFrame) -> DataFrame:
@@ -357,14 +443,25 @@ def ablation(
     imputer = MedianImputer.fit(ranked.where(is_train(test_size)), columns)
     filled = imputer.transform(ranked).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = filled.where(is_train(test_size)), filled.where(~is_train(test_size))
-    rows = []
-    for position, (label, cols) in enumerate(sets):
-        usable = [c for c in cols if c in imputer.medians]
-        if not usable:
-            continue
-        model = fit(regressor, train, usable)
-        rmse = regression_metrics(model.predict(test).withColumnRenamed(model.pred, "pred")).first()["rmse"]
-        rows.append((position, label, len(usable), float(rmse)))
+    n = train.count()
+    usable = [tuple(c for c in cols if c in imputer.medians) for _, cols in sets]
+
+    def score(cols: tuple[str, ...]) -> float:
+        vectors = None
+        if regressor.solver:
+            model = fit(regressor, train, cols)
+        else:
+            vectors = vector_table(train, cols, ["y"], n)
+            model = fit_vectors(regressor, vectors, cols)
+        rmse = regression_metrics(model.predict(test), pred=model.pred).first()["rmse"]
+        if vectors is not None:
+            vectors.unpersist()
+        return float(rmse)
+
+    # a group without columns repeats the set before it, and its model
+    jobs = [Job(cols, lambda cols=cols: score(cols), len(cols)) for cols in dict.fromkeys(usable) if cols]
+    scores = run_jobs(table.sparkSession, jobs)
+    rows = [(i, label, len(cols), scores[cols]) for i, ((label, _), cols) in enumerate(zip(sets, usable)) if cols]
     filled.unpersist()
     ranked.unpersist()
     result = table.sparkSession.createDataFrame(

@@ -14,7 +14,7 @@ from hourloom.operators.grid import hourly_wide, regularise, resample_hourly, wi
 from hourloom.operators.joins import attach_station, join_series
 from hourloom.operators.windows import Feature
 from hourloom.plans.features import feature_table, horizon_targets, multi_source_features, names_of
-from hourloom.plans.models import Regressor, horizon_experiment, horizon_models
+from hourloom.plans.models import Regressor, horizon_experiments, horizon_models
 from hourloom.settings import (
     CENTRE_LATITUDE,
     CENTRE_LONGITUDE,
@@ -27,6 +27,8 @@ from hourloom.sources.files import dataset_manifest, read_parquet, write_manifes
 from hourloom.sources.payloads import read_measurements
 from hourloom.sources.stations import within_radius
 
+TOGETHER = 8  # tables of one target and horizon held at once
+
 
 def land_pollution(
     spark: SparkSession,
@@ -79,17 +81,25 @@ def score_horizons(
     horizons: Sequence[int] = tuple(HORIZONS),
     regressors: Sequence[Regressor] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Metrics of every target, horizon and model, and the model comparison tests."""
+    """Metrics of every target, horizon and model, and the model comparison tests.
+
+    All targets and horizons are run together, up to TOGETHER of them; more come in turns.
+    """
     regressors = list(regressors or horizon_models())
+    held = {target: table.persist(StorageLevel.MEMORY_AND_DISK) for target, (table, _) in tables.items()}
+    asked = [
+        ((target, h), held[target], names_of(features), f"target_{h}h", f"{target}_lag_1")
+        for target, (_, features) in tables.items()
+        for h in horizons
+    ]
     metrics, tests = [], []
-    for target, (table, features) in tables.items():
-        stored = table.persist(StorageLevel.MEMORY_AND_DISK)
-        for h in horizons:
-            run = horizon_experiment(stored, names_of(features), f"target_{h}h", f"{target}_lag_1", regressors)
+    for first in range(0, len(asked), TOGETHER):
+        for (target, h), run in horizon_experiments(asked[first : first + TOGETHER], regressors).items():
             labels = [F.lit(target).alias("pollutant"), F.lit(f"{h}h").alias("horizon")]
             metrics.append(run.metrics.select(*labels, "*"))
             if run.comparison is not None:
                 tests.append(run.comparison.select(*labels, "n", "stat", "p_value", "significant"))
-        stored.unpersist()
+    for table in held.values():
+        table.unpersist()
     return reduce(DataFrame.unionByName, metrics), reduce(DataFrame.unionByName, tests) if tests else None
 

@@ -46,8 +46,18 @@ def each_pollutant(table_of: Callable[[str], DataFrame], pollutants: Iterable[st
     return reduce(DataFrame.unionByName, tables)
 
 
+def released(run: models.NextHourRun) -> models.NextHourRun:
+    """The run without its cached rows, which its results and predictions do not read."""
+    run.release()
+    return run
+
+
+def next_hour_results_of(spark: SparkSession, sf_dir: str, regressors: list, target: str) -> DataFrame:
+    return released(next_hour_run(spark, sf_dir, regressors, target=target)).results
+
+
 def next_hour_results(spark: SparkSession, sf_dir: str, regressors: list, n_splits: int = 0) -> DataFrame:
-    return each_pollutant(lambda t: next_hour_run(spark, sf_dir, regressors, n_splits, t).results)
+    return each_pollutant(lambda t: released(next_hour_run(spark, sf_dir, regressors, n_splits, t)).results)
 
 
 @query()
@@ -132,7 +142,7 @@ e AS (SELECT parameter, site, model, y - (my + w * (x - mx) / sx) AS e FROM test
 SELECT parameter, site, model, count(*) AS n_test, {steady_sql('sqrt(avg(e * e))', 4)} AS rmse FROM e GROUP BY ALL""")
 def series_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled models over many series, split in time series by series and scored per series."""
-    run = site_run(spark, sf_dir, n_splits=0)
+    run = released(site_run(spark, sf_dir, n_splits=0))
     return run.series_results.select(*SERIES_KEYS, "model", "n_test", steady("rmse", 4).alias("rmse"))
 
 
@@ -144,14 +154,14 @@ v AS (SELECT model, fold, sqrt(avg((y - (my + w * (x - mx) / sx)) ** 2)) AS rmse
 SELECT model, {steady_sql('avg(rmse)', 4)} AS cv_rmse_mean, {steady_sql('stddev_pop(rmse)', 4)} AS cv_rmse_std FROM v GROUP BY model""")
 def series_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five expanding folds within each of many series, one pooled model per fold."""
-    scores = site_run(spark, sf_dir, n_splits=5).results.where(F.col("model") != "Naive Baseline")
+    scores = released(site_run(spark, sf_dir, n_splits=5)).results.where(F.col("model") != "Naive Baseline")
     return scores.select("model", *[steady(c, 4).alias(c) for c in ("cv_rmse_mean", "cv_rmse_std")])
 
 
 @query()
 def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     def tops(target: str) -> DataFrame:
-        run = next_hour_run(spark, sf_dir, [models.forest(), models.boosting()], target=target)
+        run = released(next_hour_run(spark, sf_dir, [models.forest(), models.boosting()], target=target))
         return reduce(DataFrame.unionByName, [models.top_features(m.importances(spark), 10) for m in run.fitted])
 
     return each_pollutant(tops)
@@ -167,7 +177,7 @@ def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest test error of all five models."""
     regressors = models.next_hour_models()
-    return each_pollutant(lambda t: models.best_model(next_hour_run(spark, sf_dir, regressors, target=t).results))
+    return each_pollutant(lambda t: models.best_model(next_hour_results_of(spark, sf_dir, regressors, t)))
 
 
 def multi_source_table(spark: SparkSession, sf_dir: str, target: str) -> tuple[DataFrame, list]:

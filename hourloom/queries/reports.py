@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hourloom.plans import models, reports
 from hourloom.queries import query
-from hourloom.queries.models import each_pollutant, next_hour_run
+from hourloom.queries.models import each_pollutant, next_hour_run, released
 
 
 def best_residuals(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
     """Residuals of the model with the lowest test error of all five."""
-    run = next_hour_run(spark, sf_dir, models.next_hour_models(), target=target)
+    run = released(next_hour_run(spark, sf_dir, models.next_hour_models(), target=target))
     best = models.best_model(run.results).first()["model"]
     column = next(m.pred for m in run.fitted if m.name == best)
     return reports.residuals(run.predictions, column)
