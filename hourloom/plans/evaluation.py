@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourloom.functions.distributions import t_two_sided_udf
+from hourloom.functions.distributions import t_tail
 from hourloom.functions.timecols import floor_div
 from hourloom.operators.grid import HOUR
 from hourloom.operators.ranks import distributed_rank, exact_quantiles
@@ -176,7 +176,7 @@ def dm_test(
     )
     if not p_value:
         return result
-    p = t_two_sided_udf(F.col("stat"), (F.col("n") - 1).cast("double"))
+    p = t_tail(F.col("stat"), (F.col("n") - 1).cast("double"))
     return result.withColumn("p_value", F.when(flat, F.lit(1.0)).otherwise(p)).withColumn(
         "significant", F.col("p_value") < 0.05
     )

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.operators.distribution import histogram, qq_points
 from hourloom.settings import GUIDELINES
 
 
-def profile_band(profile: DataFrame, guideline: float) -> DataFrame:
+def guideline_of(parameter: str, period: str) -> Column:
+    """The guideline level of the parameter column for a period; null where there is none."""
+    levels = [F.lit(x) for p, level in GUIDELINES.items() for x in (p, level[period])]
+    return F.try_element_at(F.create_map(*levels), F.col(parameter))
+
+
+def profile_band(profile: DataFrame, guideline: float | Column) -> DataFrame:
     """Mean plus and minus one deviation, with a guideline level."""
     return profile.withColumns(
         {
             "band_low": F.col("mean") - F.col("std"),
             "band_high": F.col("mean") + F.col("std"),
-            "guideline": F.lit(guideline),
+            "guideline": guideline if isinstance(guideline, Column) else F.lit(guideline),
         }
     )
 

@@ -35,23 +35,22 @@ def union_sql(template: str, columns: list[str]) -> str:
 
 
 @query(f"""WITH {MEAS} SELECT parameter, CAST(ts AS DATE) AS date, {mean_sql('value', 2)} AS mean,
-       15.0::DOUBLE AS guideline_daily, 5.0::DOUBLE AS guideline_annual
+       CASE parameter WHEN 'pm25' THEN 15.0::DOUBLE WHEN 'pm10' THEN 45.0::DOUBLE END AS guideline_daily,
+       CASE parameter WHEN 'pm25' THEN 5.0::DOUBLE WHEN 'pm10' THEN 15.0::DOUBLE END AS guideline_annual
 FROM meas WHERE value IS NOT NULL GROUP BY ALL""")
 def daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = profile.daily_mean(inputs.measurements(spark, sf_dir), keys=["parameter"], scale=2)
-    level = GUIDELINES["pm25"]
-    return daily.withColumns(
-        {"guideline_daily": F.lit(level["daily"]), "guideline_annual": F.lit(level["annual"])}
-    )
+    return daily.withColumns({f"guideline_{p}": reports.guideline_of("parameter", p) for p in ("daily", "annual")})
 
 
 @query(f"""WITH {MEAS}, p AS (SELECT parameter, CAST(hour(ts) AS INTEGER) AS hour, {mean_sql('value', 2)} AS mean,
   stddev_samp(value) AS std, count(value) AS "count" FROM meas GROUP BY ALL)
 SELECT parameter, hour, mean, round(std, 6) AS std, "count", round(mean - std, 6) AS band_low,
-       round(mean + std, 6) AS band_high, 15.0::DOUBLE AS guideline FROM p""")
+       round(mean + std, 6) AS band_high,
+       CASE parameter WHEN 'pm25' THEN 15.0::DOUBLE WHEN 'pm10' THEN 45.0::DOUBLE END AS guideline FROM p""")
 def diurnal_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = profile.hour_profile(inputs.measurements(spark, sf_dir), keys=["parameter"], scale=2)
-    return rounded(reports.profile_band(hours, 15.0), ["std", "band_low", "band_high"])
+    return rounded(reports.profile_band(hours, reports.guideline_of("parameter", "daily")), ["std", "band_low", "band_high"])
 
 
 @query(f"""WITH {MEAS}, p AS (SELECT parameter, CAST(hour(ts) AS INTEGER) AS hour, {mean_sql('value', 2)} AS mean
@@ -183,15 +182,16 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SERIES}, r AS (SELECT parameter, {roll_sql('value', 'mean', 24, 24, 'm', 'PARTITION BY parameter', lagged=False)}
   FROM series)
-SELECT parameter, count(m) AS n_windows, count(CASE WHEN m > CASE parameter WHEN 'pm10' THEN 45 ELSE 15 END THEN 1 END) AS n_exceeding
-FROM r GROUP BY parameter""")
+SELECT parameter, count(m) AS n_windows, CASE parameter WHEN 'pm25' THEN count(CASE WHEN m > 15 THEN 1 END)
+  WHEN 'pm10' THEN count(CASE WHEN m > 45 THEN 1 END) END AS n_exceeding FROM r GROUP BY parameter""")
 def exceedance_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = rolling("m", "value", "mean", 24, lagged=False)
     means = add_features(inputs.series(spark, sf_dir), [day], ["parameter"])
-    limit = F.when(F.col("parameter") == "pm10", GUIDELINES["pm10"]["daily"]).otherwise(GUIDELINES["pm25"]["daily"])
-    return means.groupBy("parameter").agg(
-        F.count("m").alias("n_windows"), F.count_if(steady("m") > limit).alias("n_exceeding")
+    limit = reports.guideline_of("parameter", "daily")
+    counts = means.withColumn("limit", limit).groupBy("parameter", "limit").agg(
+        F.count("m").alias("n_windows"), F.count_if(steady("m") > F.col("limit")).alias("_over")
     )
+    return counts.select("parameter", "n_windows", F.when(F.col("limit").isNotNull(), F.col("_over")).alias("n_exceeding"))
 
 
 EXTREMES = f"""{ORDERS}, q AS (SELECT quantile_cont(value, 0.99) AS t FROM os),

@@ -120,3 +120,16 @@ def test_t_tail(stat, df, expected):
 
 def test_t_tail_undefined():
     assert math.isnan(distributions.t_two_sided(1.0, 0))
+
+
+def test_t_tail_column_equals_single_values(spark):
+    rows = [(t, float(d)) for t in (0.0, 1e-4, 0.3, -1.0, 1.7, 1.75, -2.5, 6.0, 40.0) for d in (1, 2, 3, 7, 30, 128, 999, 54_321, 3_000_000)]
+    rows += [(None, 5.0), (1.0, None), (float("nan"), 5.0), (1.0, 0.0)]
+    df = spark.createDataFrame(rows, "t double, d double")
+    got = df.select("t", "d", distributions.t_tail(F.col("t"), F.col("d")).alias("p")).collect()
+    for t, d, p in got:
+        want = distributions.t_two_sided(t, d) if d is not None else math.nan
+        assert (math.isnan(p) and math.isnan(want)) or abs(p - want) <= 1e-10, (t, d)
+    near = df.select(distributions.t_tail(F.lit(1e-9), F.lit(1.0))).first()[0]
+    assert abs(near - (1 - 2e-9 / math.pi)) < 1e-15  # the Cauchy tail
+    assert df.select(distributions.t_tail(F.lit(float("inf")), F.lit(3.0))).first()[0] == 0.0
