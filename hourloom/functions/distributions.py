@@ -86,16 +86,15 @@ def t_two_sided(stat: float, df: float) -> float:
     """Two-sided tail probability of Student's t, for single values; t_tail is the column form."""
     if stat is None or df is None or math.isnan(stat) or df <= 0:
         return math.nan
-    x = df / (df + stat * stat)
-    if x >= 1.0:
+    ratio = stat * stat / df
+    x, rest = 1.0 / (1.0 + ratio), ratio / (1.0 + ratio)
+    if rest <= 0.0:
         return 1.0
     a, b = df / 2.0, 0.5
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - a * math.log1p(ratio)) * math.sqrt(rest)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, rest) / b
 
 
 GAMMA_SHIFT = 20  # the series of the gamma ratio starts this far out

@@ -276,9 +276,9 @@ def feature_set_t1_pm10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _next_hour(spark, sf_dir, "pm10", "pm25", (1,))
 
 
-def _multi_source_sql() -> str:
-    columns = [lag_sql("pm25", k) for k in TARGET_LAGS] + rolling_sql("pm25", FULL)
-    columns += [diff_sql("pm25", k, True, f"pm25_diff_{k}") for k in (1, 24)]
+def _multi_source_sql(target: str) -> str:
+    columns = [lag_sql(target, k) for k in TARGET_LAGS] + rolling_sql(target, FULL)
+    columns += [diff_sql(target, k, True, f"{target}_diff_{k}") for k in (1, 24)]
     columns += [cyc_sql("hour(h)", 24, "hour"), cyc_sql("month(h)", 12, "month"), cyc_sql("isodow(h) - 1", 7, "dow")]
     columns += [
         "CAST(dayofyear(h) AS INTEGER) AS day_of_year",
@@ -286,26 +286,45 @@ def _multi_source_sql() -> str:
         "CASE WHEN month(h) IN (12, 1, 2) THEN 1.0 ELSE 0.0 END::DOUBLE AS is_winter",
     ]
     columns += _weather_sql() + _extra_sql()
-    columns += [f"lead(pm25, {k}) OVER (ORDER BY h) AS target_{k}h" for k in HORIZONS]
+    columns += [f"lead({target}, {k}) OVER (ORDER BY h) AS target_{k}h" for k in HORIZONS]
     return f"WITH {FULL_WIDE}, f AS (SELECT h AS ts, {', '.join(columns)} FROM rich) SELECT * FROM f WHERE target_1h IS NOT NULL"
 
 
-MULTI_SOURCE_SQL = _multi_source_sql()
+MULTI_SOURCE_SQL = {target: _multi_source_sql(target) for target in ("pm25", "pm10")}
 
 
-@query(MULTI_SOURCE_SQL)
-def feature_set_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _multi_source(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
     grid = rich_wide(spark, sf_dir)
-    wanted = sets.multi_source_features("pm25", grid.columns)
-    return on_wide(grid, wanted, sets.horizon_targets("pm25")).where(F.col("target_1h").isNotNull())
+    wanted = sets.multi_source_features(target, grid.columns)
+    return on_wide(grid, wanted, sets.horizon_targets(target)).where(F.col("target_1h").isNotNull())
 
 
-@query(f"""WITH {WIDE}, t AS (SELECT h AS ts, pm25, lag(pm25, 1) OVER (ORDER BY h) AS pm25_lag_1,
-  {', '.join(f'lead(pm25, {k}) OVER (ORDER BY h) AS t{k}' for k in HORIZONS)} FROM wide)
-{' UNION ALL '.join(f'SELECT ts, pm25, pm25_lag_1, {k} AS horizon, t{k} AS y FROM t WHERE t{k} IS NOT NULL' for k in HORIZONS)}""")
-def multi_horizon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = add_features(
-        inputs.wide(spark, sf_dir), [lag("pm25_lag_1", "pm25", 1), *sets.horizon_targets("pm25")], keep=[HOUR, "pm25"]
+@query(MULTI_SOURCE_SQL["pm25"])
+def feature_set_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multi_source(spark, sf_dir, "pm25")
+
+
+@query(MULTI_SOURCE_SQL["pm10"])
+def feature_set_v2_pm10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multi_source(spark, sf_dir, "pm10")
+
+
+def _long_sql(target: str) -> str:
+    leads = ", ".join(f"lead({target}, {k}) OVER (ORDER BY h) AS t{k}" for k in HORIZONS)
+    rows = f"(SELECT h AS ts, {target} AS value, lag({target}, 1) OVER (ORDER BY h) AS lag_1, {leads} FROM wide)"
+    return " UNION ALL ".join(
+        f"SELECT '{target}' AS pollutant, ts, value, lag_1, {k} AS horizon, t{k} AS y FROM {rows} WHERE t{k} IS NOT NULL" for k in HORIZONS
     )
-    long = sets.long_targets(table, HORIZONS, [HOUR, "pm25", "pm25_lag_1"])
-    return long.select(hour_ts(), "pm25", "pm25_lag_1", "horizon", "y")
+
+
+@query(f"WITH {WIDE} {_long_sql('pm25')} UNION ALL {_long_sql('pm10')}")
+def multi_horizon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pollutant, ts, value, lag_1, horizon, y) of both pollutants."""
+
+    def long(target: str) -> DataFrame:
+        wanted = [lag("lag_1", target, 1), *sets.horizon_targets(target)]
+        table = add_features(inputs.wide(spark, sf_dir), wanted, keep=[HOUR, target])
+        rows = sets.long_targets(table, HORIZONS, [HOUR, target, "lag_1"])
+        return rows.select(F.lit(target).alias("pollutant"), hour_ts(), F.col(target).alias("value"), "lag_1", "horizon", "y")
+
+    return long("pm25").unionByName(long("pm10"))

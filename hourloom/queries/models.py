@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.operators.grid import HOUR, hourly_long
+from hourloom.operators.distribution import correlation_matrix
 from hourloom.operators.profile import group_completeness
 from hourloom.operators.windows import add_features, lead
 from hourloom.plans import features as sets
-from hourloom.plans import models, pipelines
+from hourloom.plans import linear, models, pipelines
 from hourloom.plans.evaluation import chronological_rank, is_train, regression_metrics
 from hourloom.plans.reports import horizon_comparison as compare_horizons
 from hourloom.queries import inputs, query
@@ -129,11 +130,14 @@ c AS (SELECT {lead_in}mx, sx, my, k, sum((x - mx) / sx * (y - my)) AS zy FROM {t
 w AS ({models_sql})"""
 
 
-def site_run(spark: SparkSession, sf_dir: str, n_splits: int) -> models.NextHourRun:
+def site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.measurements(spark, sf_dir).withColumn("site", F.col("location") % 3)
-    table = add_features(hourly_long(rows, SERIES_KEYS, **inputs.SCALES), [lead("y", "value", 1)], SERIES_KEYS)
-    linear = [models.ols(), models.ridge(), models.lasso()]
-    return models.next_hour_experiment(table, ["value"], "value", linear, n_splits, keys=SERIES_KEYS)
+    return add_features(hourly_long(rows, SERIES_KEYS, **inputs.SCALES), [lead("y", "value", 1)], SERIES_KEYS)
+
+
+def site_run(spark: SparkSession, sf_dir: str, n_splits: int) -> models.NextHourRun:
+    regressors = [models.ols(), models.ridge(), models.lasso()]
+    return models.next_hour_experiment(site_table(spark, sf_dir), ["value"], "value", regressors, n_splits, keys=SERIES_KEYS)
 
 
 @query(f"""WITH {SITE_SERIES}, {_closed_forms('train')},
@@ -217,20 +221,68 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_pollutant(scores)
 
 
-def _groups_sql() -> str:
-    wanted = sets.multi_source_features("pm25", RICH_COLUMNS)
+def _groups_sql(target: str) -> str:
+    wanted = sets.multi_source_features(target, RICH_COLUMNS)
     cells = " UNION ALL ".join(
         f"SELECT '{f.group}' AS feature_group, 100.0 * CAST(count({f.name}) AS DOUBLE) / count(*) AS p FROM t" for f in wanted
     )
-    return f"""WITH t AS ({MULTI_SOURCE_SQL}), c AS ({cells})
-SELECT feature_group, count(*) AS n_features, {steady_sql('avg(p)')} AS mean_pct_present FROM c GROUP BY feature_group"""
+    return f"""SELECT '{target}' AS pollutant, feature_group, count(*) AS n_features, {steady_sql('avg(p)')} AS mean_pct_present
+FROM (WITH t AS ({MULTI_SOURCE_SQL[target]}) {cells}) GROUP BY feature_group"""
 
 
-@query(_groups_sql())
+@query(f"{_groups_sql('pm25')} UNION ALL {_groups_sql('pm10')}")
 def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns per feature group and how complete they are."""
+    """Columns per feature group of each pollutant and how complete they are."""
     grid = rich_wide(spark, sf_dir)
-    wanted = sets.multi_source_features("pm25", grid.columns)
-    table = sets.feature_table(grid, [*wanted, *sets.horizon_targets("pm25", [1])], required=["target_1h"])
-    present = group_completeness(table, sets.by_group(wanted))
-    return present.withColumn("mean_pct_present", steady("mean_pct_present"))
+
+    def groups(target: str) -> DataFrame:
+        wanted = sets.multi_source_features(target, grid.columns)
+        table = sets.feature_table(grid, [*wanted, *sets.horizon_targets(target, [1])], required=["target_1h"])
+        present = group_completeness(table, sets.by_group(wanted))
+        return present.withColumn("mean_pct_present", steady("mean_pct_present"))
+
+    return each_pollutant(groups)
+
+
+def _slope_sql() -> str:
+    """One least-squares line per series on its training hours; few or equal readings give a flat one."""
+    return f"""WITH {SITE_SERIES},
+m AS (SELECT parameter, site, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx FROM train GROUP BY ALL),
+lines AS (SELECT parameter, site, n, my, mx, CASE WHEN vx > 0 THEN cxy / vx ELSE 0 END AS slope FROM m),
+e AS (SELECT parameter, site, count(*) AS n_test, sqrt(avg((t.y - (g.my + g.slope * (t.x - g.mx))) ** 2)) AS rmse
+  FROM test t JOIN lines g USING (parameter, site) GROUP BY ALL)
+SELECT parameter, site, n, {steady_sql('slope')} AS slope, {steady_sql('my - slope * mx', 4)} AS intercept, n_test,
+  {steady_sql('rmse', 4)} AS rmse FROM lines JOIN e USING (parameter, site)"""
+
+
+@query(_slope_sql())
+def series_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of its own for every series: one grouped aggregation, all systems solved by batches of series."""
+    rows = site_table(spark, sf_dir).select(*SERIES_KEYS, HOUR, "value", "y").na.drop(subset=["y"])
+    ranked = chronological_rank(rows, SERIES_KEYS, hourly_keys=True).na.drop(subset=["value"])
+    fitted = linear.fit_series(ranked.where(is_train()), ["value"], "y", SERIES_KEYS)
+    scored = linear.predict_series(ranked.where(~is_train()), fitted, ["value"], SERIES_KEYS)
+    scores = regression_metrics(scored, SERIES_KEYS).select(*SERIES_KEYS, "n_test", steady("rmse", 4).alias("rmse"))
+    lines = fitted.select(
+        *SERIES_KEYS, "n", steady(F.col("weights")[0]).alias("slope"), steady("intercept", 4).alias("intercept")
+    )
+    return lines.join(scores, SERIES_KEYS)
+
+
+CORRELATED = ["pm25_lag_1", "pm25_lag_24", "pm25_diff_1", "temp_lag_1", "hour_sin", "target_1h"]
+
+
+def _feature_correlation_sql() -> str:
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, {steady_sql(f'corr({a}, {b})')} AS r FROM t" for a in CORRELATED for b in CORRELATED
+    )
+    return f"WITH t AS ({MULTI_SOURCE_SQL['pm25']}) {pairs}"
+
+
+@query(_feature_correlation_sql())
+def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of all multi-source features with each other in one pass; the check reads some of them."""
+    table, wanted = multi_source_table(spark, sf_dir, "pm25")
+    matrix = correlation_matrix(table, [*(f.name for f in wanted), "target_1h"])
+    told = matrix.where(F.col("x").isin(CORRELATED) & F.col("y").isin(CORRELATED))
+    return told.select("x", "y", steady("r").alias("r"))

@@ -129,7 +129,7 @@ def test_t_tail_column_equals_single_values(spark):
     got = df.select("t", "d", distributions.t_tail(F.col("t"), F.col("d")).alias("p")).collect()
     for t, d, p in got:
         want = distributions.t_two_sided(t, d) if d is not None else math.nan
-        assert (math.isnan(p) and math.isnan(want)) or abs(p - want) <= 1e-10, (t, d)
+        assert (math.isnan(p) and math.isnan(want)) or abs(p - want) <= (1e-10 if d < 1000 else 1e-8), (t, d)  # log gammas of large arguments lose digits
     near = df.select(distributions.t_tail(F.lit(1e-9), F.lit(1.0))).first()[0]
     assert abs(near - (1 - 2e-9 / math.pi)) < 1e-15  # the Cauchy tail
     assert df.select(distributions.t_tail(F.lit(float("inf")), F.lit(3.0))).first()[0] == 0.0

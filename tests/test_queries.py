@@ -9,8 +9,8 @@ from hourloom import queries as registry
 SF = "/root/testdata/sf0.01"
 registry.load()
 RUNS, CHECKS = registry.RUNNERS, registry.SQL
-LINEAR = {"fit_linear", "best_model", "residual_table", "residual_histogram", "residual_qq", "predicted_vs_actual"}
-SLOW = {"results_table", "horizon_metrics", "horizon_comparison", "horizon_tests", "ablation", "importance_topk", "fit_forest",
+LINEAR = {"fit_linear", "fit_forest", "best_model", "residual_table", "residual_histogram", "residual_qq", "predicted_vs_actual"}
+SLOW = {"results_table", "horizon_metrics", "horizon_comparison", "horizon_tests", "ablation", "importance_topk",
         "fit_boosting"}  # fmt: skip  # minutes each; covered at small size in test_evaluation_models
 
 
