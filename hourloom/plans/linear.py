@@ -92,23 +92,34 @@ def _design(mean: np.ndarray, spread: np.ndarray, scaled: bool) -> tuple[np.ndar
     return gram, spread[..., :-1, -1] * part, scale
 
 
-def solve_plane(solver: Solver, moments: Moments, scaled: bool) -> Plane:
-    """Fit the last column of the moments on the others, centred, and scaled to unit deviation if wanted."""
-    gram, cross, scale = _design(moments.mean, moments.products / moments.n, scaled)
-    coefficients = solver(gram, cross, np.float64(moments.n))
+def solve_planes(solver: Solver, moments: Sequence[Moments], scaled: bool) -> list[Plane]:
+    """For each moments: the last column fitted on the others, centred, and scaled to unit deviation if wanted.
+
+    All systems are solved together.
+    """
+    if not moments:
+        return []
+    n, mean = np.array([m.n for m in moments]), np.stack([m.mean for m in moments])
+    spread = np.stack([m.products for m in moments]) / n[:, None, None]
+    gram, cross, scale = _design(mean, spread, scaled)
+    coefficients = solver(gram, cross, n)
     weights = coefficients / scale
-    return Plane(float(moments.mean[-1] - weights @ moments.mean[:-1]), weights, coefficients)
-
-
-def expanding_scores(solver: Solver, blocks: dict[int, Moments], n_splits: int, scaled: bool) -> list[float]:
-    """RMSE on block i of the model of all blocks before it; folds without rows on either side are left out."""
-    width = len(next(iter(blocks.values())).mean) if blocks else 0
-    scores = []
-    for fold in range(1, n_splits + 1):
-        known = total((blocks[b] for b in sorted(blocks) if b < fold), width)
-        if known.n and fold in blocks:
-            scores.append(solve_plane(solver, known, scaled).mean_squared_error(blocks[fold]) ** 0.5)
-    return scores
+    intercepts = mean[:, -1] - (weights * mean[:, :-1]).sum(axis=1)
+    return [Plane(float(i), w, c) for i, w, c in zip(intercepts, weights, coefficients)]
+
+
+def fit_with_folds(
+    solver: Solver, blocks: dict[int, Moments], width: int, n_splits: int, scaled: bool
+) -> tuple[Plane, list[float]]:
+    """The model of all blocks, and the RMSE on block i of the model of all blocks before it.
+
+    Folds without rows on either side are left out.
+    """
+    known = [total((blocks[b] for b in sorted(blocks) if b < fold), width) for fold in range(1, n_splits + 1)]
+    folds = [fold for fold, m in enumerate(known, 1) if m.n and fold in blocks]
+    whole = total((blocks[b] for b in sorted(blocks)), width)
+    plane, *planes = solve_planes(solver, [whole, *(known[fold - 1] for fold in folds)], scaled)
+    return plane, [p.mean_squared_error(blocks[fold]) ** 0.5 for p, fold in zip(planes, folds)]
 
 
 def _square(flat: np.ndarray, width: int) -> np.ndarray:

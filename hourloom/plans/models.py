@@ -33,7 +33,7 @@ from hourloom.plans.evaluation import (
     regression_metrics,
     rounded,
 )
-from hourloom.plans.linear import Plane, Solver, expanding_scores, lasso_solver, least_squares, ridge_solver, solve_plane
+from hourloom.plans.linear import Plane, Solver, fit_with_folds, lasso_solver, least_squares, ridge_solver, solve_planes
 from hourloom.plans.runner import Job, run_jobs, stored, vector_table
 from hourloom.settings import RANDOM_SEED
 
@@ -153,7 +153,7 @@ def fit(regressor: Regressor, train: DataFrame, columns: Sequence[str]) -> Fitte
 
 def fit_moments(regressor: Regressor, moments: Moments, columns: Sequence[str]) -> Fitted:
     """A linear model out of the moments of the columns and y."""
-    return Fitted(regressor.name, solve_plane(regressor.solver, moments, regressor.scaled), list(columns))
+    return Fitted(regressor.name, solve_planes(regressor.solver, [moments], regressor.scaled)[0], list(columns))
 
 
 def fit_vectors(regressor: Regressor, vectors: DataFrame, columns: Sequence[str]) -> Fitted:
@@ -195,10 +195,9 @@ def fit_all(
     linear = [m for m in regressors if m.solver]
     if linear:
         blocks = block_moments(train, [*columns, "y"], fold_block(n_splits) if n_splits else None)
-        moments = total((blocks[b] for b in sorted(blocks)), len(columns) + 1)
         for m in linear:
-            fitted[m.name] = fit_moments(m, moments, columns)
-            scores[m.name] = expanding_scores(m.solver, blocks, n_splits, m.scaled)
+            plane, scores[m.name] = fit_with_folds(m.solver, blocks, len(columns) + 1, n_splits, m.scaled)
+            fitted[m.name] = Fitted(m.name, plane, columns)
     trees = [m for m in regressors if not m.solver]
     if trees:
         n = train.count()
