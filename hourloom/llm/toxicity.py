@@ -13,8 +13,9 @@ sum, the greatest weight and whether there is a hit gives the score. doc_id only
 may teach; labels, language and source are never inputs of a score.
 
 Labels are used up to LABELLED rows by hash order, so they may be broadcast. Words are counted per
-row and summed map-side; the lexicon that reaches the driver has MAX_TERMS entries at most. Scoring
-works row by row and shuffles nothing.
+row and summed map-side; significance alone decides which words and phrases are kept, and as they come
+from LABELLED rows at most, they may be collected. Words of one or two letters never enter the lexicon:
+in folded text they are mostly numbers and initials. Scoring works row by row and shuffles nothing.
 
 Defined results. Null and empty texts get the score of a text without hits and length 0. Every row
 gives its own result row; repeated rows score alike. Without toxic or without other labels every score
@@ -24,6 +25,7 @@ drop_toxic.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -40,11 +42,13 @@ from pyspark.sql import functions as F
 from hourloom.llm.store import saved
 
 LABELLED = 50_000  # bound on the labelled rows used
-MAX_TERMS = 2_000
 MIN_CONTEXTS = 4  # distinct preceding words in toxic rows, told apart by 63 slots
 MIN_Z = 5.0
 MIN_OTHER = 9  # non-toxic rows that every exception phrase has (at least 10 rows, 9 of 10 non-toxic), and so each of its words
 HELD_PHRASES = 200_000  # counted at once in a task
+DEPTH, WIDTH = 4, 1 << 20  # one-byte counters of phrases: 4 MB a task
+BUCKETS = 16  # by phrase, for the exact counts
+SUM_TASKS = 4  # tasks that add up the counters
 FOLDS, HELD_OUT = 5, 0
 # fixed values: look-alike letters of Greek and Cyrillic, and signs that stand for letters
 LOOKALIKES = dict(zip("αβεηικνορτυχωаеорсухіѕјԁԛԝьктмнвгӏё", "abenikvoptuxwaeopcyxisjdqwbktmhbrie"))
@@ -140,41 +144,123 @@ def learn_lexicon(teaching: DataFrame, n_toxic: int, n_other: int) -> tuple[dict
     deviation = F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))
     z = (F.col("t") / n_toxic - F.col("c") / n_other) / deviation
     kept = counts.where(F.col("contexts") >= MIN_CONTEXTS).withColumns({"weight": odds, "z": z}).where(F.col("z") >= MIN_Z)
-    top = kept.orderBy(F.desc("z"), "word").limit(MAX_TERMS).collect()  # the bound of the lexicon
+    top = kept.select("word", "weight", "c").collect()  # words of `bound` rows at most
     return {r["word"]: r["weight"] for r in top}, {r["word"] for r in top if r["c"] < MIN_OTHER}
 
 
+def phrases_of(text: str | None, terms: frozenset[str], rare: frozenset[str]) -> set[str]:
+    """Folded neighbours of which one is a term and none is rare."""
+    w = fold(text).split()
+    return {f"{a} {b}" for a, b in zip(w, w[1:]) if (a in terms or b in terms) and a not in rare and b not in rare}
+
+
+def _cells(phrases: list[str]) -> np.ndarray:
+    """For each phrase its cell in each row of the counters."""
+    digests = b"".join(hashlib.blake2b(p.encode(), digest_size=4 * DEPTH).digest() for p in phrases)
+    return np.frombuffer(digests, "<u4").reshape(-1, DEPTH) % WIDTH
+
+
+def _frequent(teaching: DataFrame, terms: frozenset[str], rare: frozenset[str]) -> np.ndarray:
+    """Which cells of counters of fixed size reach MIN_OTHER: all cells of any phrase with as many non-toxic rows do.
+
+    A task fills one table for all its rows; the tables are added up in SUM_TASKS tasks and on the driver.
+    A counter stays at 255, which keeps it at MIN_OTHER and more.
+    """
+
+    def table(cells: np.ndarray, slot: int) -> pa.RecordBatch:
+        packed = np.minimum(cells, 255).astype(np.uint8).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([packed], pa.binary())], names=["slot", "cells"])
+
+    def unpacked(cells: bytes) -> np.ndarray:
+        return np.frombuffer(cells, np.uint8).reshape(DEPTH, WIDTH)
+
+    def fill(batches):
+        from pyspark import TaskContext
+
+        cells = np.zeros((DEPTH, WIDTH), np.int32)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found = list(phrases_of(text, terms, rare))
+                if found:
+                    at = _cells(found)
+                    for d in range(DEPTH):
+                        np.add.at(cells[d], at[:, d], 1)
+        yield table(cells, TaskContext.get().partitionId() % SUM_TASKS)
+
+    def add(batches):
+        cells, slot = np.zeros((DEPTH, WIDTH), np.int32), None
+        for batch in batches:
+            for slot, one in zip(batch.column("slot").to_pylist(), batch.column("cells").to_pylist()):
+                cells += unpacked(one)
+        if slot is not None:
+            yield table(cells, slot)
+
+    tables = teaching.where("toxic = 0").select("text").mapInArrow(fill, "slot int, cells binary")
+    added = tables.repartition(SUM_TASKS, "slot").mapInArrow(add, "slot int, cells binary")
+    total = np.zeros((DEPTH, WIDTH), np.int32)
+    for r in added.collect():  # SUM_TASKS rows at most
+        total += unpacked(bytes(r["cells"]))
+    return total >= MIN_OTHER
+
+
 def learn_exceptions(teaching: DataFrame, lexicon: dict[str, float], rare: set[str]) -> set[str]:
-    """Phrases of a term and its neighbour that occur in non-toxic rows at least nine times out of ten.
+    """Phrases of a term and its neighbour that occur in at least 10 rows, nine times out of ten in non-toxic ones.
 
-    A phrase with a rare term cannot get there and is not counted. Each task counts its own phrases.
+    Such a phrase has MIN_OTHER non-toxic rows, and so has each of its words: phrases with a rare term are
+    left out at once. Of the others most occur a few times only, so a first pass counts phrases into
+    counters of fixed size, which never count too little (collisions only add), and only phrases that may reach MIN_OTHER are
+    counted exactly. The result is that of counting all.
     """
     terms, rare = frozenset(lexicon), frozenset(rare)
-
-    def table(counts: dict[str, list[int]]) -> pa.RecordBatch:
-        t, n = [x[0] for x in counts.values()], [x[1] for x in counts.values()]
-        columns = [pa.array(list(counts), pa.string()), pa.array(t, pa.int64()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["phrase", "t", "n"])
+    packed = np.packbits(_frequent(teaching, terms, rare), axis=1)
+
+    def tables(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        """The counts by bucket, a row each."""
+        buckets: dict[int, list[str]] = {}
+        for phrase in counts:
+            buckets.setdefault(zlib.crc32(phrase.encode()) % BUCKETS, []).append(phrase)
+        columns = [
+            pa.array(list(buckets), pa.int32()),
+            pa.array(list(buckets.values()), pa.list_(pa.string())),
+            *(pa.array([[counts[p][i] for p in own] for own in buckets.values()], pa.list_(pa.int64())) for i in (0, 1)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "phrase", "t", "n"])
 
     def phrases(batches):
         counts: dict[str, list[int]] = {}
+        frequent = np.unpackbits(packed, axis=1).astype(bool)
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                w = fold(text).split()
-                near = {(a, b) for a, b in zip(w, w[1:]) if (a in terms or b in terms) and a not in rare and b not in rare}
-                for a, b in near:
-                    count = counts.setdefault(f"{a} {b}", [0, 0])
-                    count[0] += toxic
-                    count[1] += 1
-                if len(counts) >= HELD_PHRASES:
-                    yield table(counts)
-                    counts = {}
-        yield table(counts)
-
-    held = teaching.select("text", "toxic").mapInArrow(phrases, "phrase string, t bigint, n bigint")
-    counts = held.groupBy("phrase").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    kept = counts.where((F.col("n") >= 10) & (10 * F.col("t") <= F.col("n"))).orderBy(F.desc("n"), "phrase").limit(MAX_TERMS)
-    return {r["phrase"] for r in kept.collect()}
+                near = list(phrases_of(text, terms, rare))
+                if not near:
+                    continue
+                likely = np.all([frequent[d][c] for d, c in enumerate(_cells(near).T)], axis=0)
+                for phrase, counted in zip(near, likely.tolist()):
+                    if counted:
+                        count = counts.setdefault(phrase, [0, 0])
+                        count[0] += toxic
+                        count[1] += 1
+            if len(counts) >= HELD_PHRASES:
+                yield tables(counts)
+                counts = {}
+        yield tables(counts)
+
+    def decide(batches):
+        """The phrases to keep among those of some buckets."""
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for own, t, n in zip(*(batch.column(c).to_pylist() for c in ("phrase", "t", "n"))):
+                for phrase, a, b in zip(own, t, n):
+                    count = counts.setdefault(phrase, [0, 0])
+                    count[0] += a
+                    count[1] += b
+        kept = [p for p, (t, n) in counts.items() if n >= 10 and 10 * t <= n]
+        yield pa.RecordBatch.from_arrays([pa.array([kept], pa.list_(pa.string()))], names=["kept"])
+
+    shape = "bucket int, phrase array<string>, t array<bigint>, n array<bigint>"
+    held = teaching.select("text", "toxic").mapInArrow(phrases, shape)
+    kept = held.repartition(BUCKETS, "bucket").mapInArrow(decide, "kept array<string>")
+    return {p for r in kept.collect() for p in r["kept"]}  # phrases of `bound` rows at most
 
 
 @lru_cache(maxsize=2)
@@ -191,14 +277,18 @@ def _automaton(lexicon: tuple[tuple[str, float], ...], exceptions: tuple[str, ..
 
 
 def hits(folded: str, automaton) -> list[float]:
-    """Weights of the terms that stand outside exception phrases."""
-    terms, covered = [], []
+    """Weights of the terms that stand outside exception phrases.
+
+    A phrase is two words, so a term lies in one if both begin or both end at the same place.
+    """
+    terms, begins, ends = [], set(), set()
     for end, (length, weight) in automaton.iter(folded):
-        span = (end - length, end)
-        (terms if weight is not None else covered).append((span, weight))
-    if not covered:
-        return [w for _, w in terms]
-    return [w for (a, b), w in terms if not any(x <= a and b <= y for (x, y), _ in covered)]
+        if weight is None:
+            begins.add(end - length)
+            ends.add(end)
+        else:
+            terms.append((end - length, end, weight))
+    return [w for a, b, w in terms if a not in begins and b not in ends]
 
 
 def _features(lexicon: dict[str, float], exceptions: set[str]):
@@ -244,8 +334,9 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFram
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The rows that score below `least`, all columns kept; rows without doc_id stay."""
-    toxic = score(docs, labels, **options).where(F.col("score") >= least).select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, F.col("doc_id") == F.col("_toxic"), "left_anti")
+    toxic = score(docs, labels, **options).where(F.col("score") >= least).select(F.col("doc_id").alias("id")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.join(toxic, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
 
 
 def op7_digest(scored: DataFrame) -> DataFrame:

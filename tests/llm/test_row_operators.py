@@ -1,7 +1,9 @@
 """Secrets, repetition, quality and toxicity against brute force, edge cases and held-out labels."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +18,7 @@ from hourloom.llm.quality import threshold_of
 from hourloom.llm.repetition import keep_good as keep_unrepetitive
 from hourloom.llm.repetition import measure
 from hourloom.llm.secrets import RULES, find_spans, op2_digest, redact, scan
-from hourloom.llm.toxicity import drop_toxic, fold, hits
+from hourloom.llm.toxicity import drop_toxic, fold, hits, learn_exceptions, phrases_of
 from hourloom.llm.toxicity import score as toxicity_score
 from hourloom.llm.trigrams import ANY, trigram_query
 
@@ -224,3 +226,38 @@ def test_diluted_words_stay_in_the_lexicon(spark):
     assert hit[:299] == [1.0] * 299  # log odds of tarnok are below 2
     assert hit[300:420] == [0.0] * 120  # its harmless phrase
     assert hit[299] == 0.0 and hit[420:429] == [0.0] * 9  # 9 of the phrase's 10 rows are non-toxic
+
+
+def test_exception_phrases_equal_the_plain_count(spark):
+    rng = random.Random(6)
+    vocabulary = [f"{w}{i}" for w in WORDS[:12] for i in "xyz"]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(1, 37), k=rng.randint(0, 30))) for _ in range(1500)] + ["", None]
+    toxic = [int(rng.random() < 0.15) for _ in texts]
+    terms, rare = {w: 1.0 for w in vocabulary[::2]}, set(vocabulary[:3])
+    plain = {}
+    for text, y in zip(texts, toxic):
+        for phrase in phrases_of(text, frozenset(terms), frozenset(rare)):
+            count = plain.setdefault(phrase, [0, 0])
+            count[0] += y
+            count[1] += 1
+    want = {p for p, (t, n) in plain.items() if n >= 10 and 10 * t <= n}
+    teaching = spark.createDataFrame(list(zip(texts, toxic)), "text string, toxic int").repartition(11)
+    assert len(want) > 50 and learn_exceptions(teaching, terms, rare) == want
+    assert learn_exceptions(teaching.limit(0), terms, rare) == set()
+
+
+def test_hits_are_linear_in_phrases():
+    from hourloom.llm.toxicity import _automaton
+
+    phrases = tuple(f"tarnok word{i:05d}" for i in range(4000))
+    found = _automaton((("tarnok", 2.0),), phrases)
+    text = " " + " ".join(f"tarnok word{i:05d}" for i in range(4000)) + " tarnok alone "
+    start = time.perf_counter()
+    assert hits(text, found) == [2.0]
+    assert time.perf_counter() - start < 0.5
+
+
+def test_drop_toxic_keeps_whole_rows(spark):
+    docs = frame(spark, ["fine words here", None, "more words"], [1, 2, None]).withColumnsRenamed({"shard": "_toxic", "weight": "id"})
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert drop_toxic(docs, labels).exceptAll(docs).isEmpty() and drop_toxic(docs, labels).count() == 3
