@@ -117,24 +117,27 @@ def contamination(
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs whose text holds no benchmark window, all columns kept."""
     report = contamination(docs, benchmark, **options).where(F.size("hit_words") > 0)
-    bad = report.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = report.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same_text = F.xxhash64(F.col("row.text").cast("string")) == F.col("bad_hash")
+    return packed.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & same_text, "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs with the hit words, and what stands before each of them, cut out of the text."""
     report = contamination(docs, benchmark, **options).where(F.size("hit_words") > 0)
     bad = report.select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"), F.col("hit_words").alias("_hit")
-    ).dropDuplicates(["_bad_id", "_bad_hash"])
-    text = F.col("text").cast("string")
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text) == F.col("_bad_hash"))
+        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("hit_words").alias("hit")
+    ).dropDuplicates(["bad_id", "bad_hash"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row.text").cast("string")
+    same = F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_hash"))
     pieces = F.regexp_extract_all(text, F.lit(ANY_CASE_PIECE), F.lit(0))
     tail = F.regexp_replace(text, ANY_CASE_PIECE, "")
-    left = F.filter(pieces, lambda x, i: ~F.array_contains("_hit", i))
-    cut = F.when(F.col("_hit").isNotNull(), F.concat(F.array_join(left, ""), tail)).otherwise(text)
-    return docs.join(bad, same, "left").withColumn("text", cut).select(*docs.columns)
+    left = F.filter(pieces, lambda x, i: ~F.array_contains("hit", i))
+    cut = F.when(F.col("hit").isNotNull(), F.concat(F.array_join(left, ""), tail)).otherwise(text)
+    joined = packed.join(bad, same, "left")
+    return joined.select(*[cut.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_digest(report: DataFrame) -> DataFrame:

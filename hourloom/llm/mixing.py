@@ -160,25 +160,21 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
         F.col("text_hash").alias("_hash"),
     ).agg(F.sum("times").alias("_times"))
     key = ["_id", "_none", "_hash"]
-    marked = docs.withColumns(
-        {
-            "_id": F.coalesce("doc_id", F.lit(0)),
-            "_none": F.col("doc_id").isNull(),
-            "_hash": F.xxhash64(F.col("text").cast("string")),
-        }
+    # the row travels as one value, so its own names cannot meet those of the helpers
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce("doc_id", F.lit(0)).alias("_id"),
+        F.col("doc_id").isNull().alias("_none"),
+        F.xxhash64(F.col("text").cast("string")).alias("_hash"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_order"),
     )
     same = W.partitionBy(*key)
-    others = [F.col(c) for c in docs.columns if c != "text"]
     spread = marked.join(times, key).withColumns(
-        {"_n": F.count(F.lit(1)).over(same), "_i": F.row_number().over(same.orderBy(*others)) - 1}
+        {"_n": F.count(F.lit(1)).over(same), "_i": F.row_number().over(same.orderBy("_order")) - 1}
     )
     share = F.floor(F.col("_times") / F.col("_n")) + F.when(F.col("_i") < F.pmod("_times", "_n"), 1).otherwise(0)
-    return (
-        spread.withColumn("_share", share)
-        .where(F.col("_share") > 0)
-        .withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_share").cast("bigint"))))
-        .select(*docs.columns)
-    )
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_share").cast("bigint")))
+    return spread.withColumn("_share", share).where(F.col("_share") > 0).select("_row", again).select("_row.*")
 
 
 def op9_digest(planned: DataFrame) -> DataFrame:

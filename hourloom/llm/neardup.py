@@ -319,7 +319,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     )
     names = docs.columns
     marked = docs.select(
-        F.struct(*names).alias("_row"),
+        F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"),
         F.coalesce("doc_id", F.lit(0)).alias("_key"),
         F.col("doc_id").isNull().alias("_none"),
         F.xxhash64(F.col("text").cast("string")).alias("_hash"),
@@ -328,10 +328,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     single = F.col("root").isNull() | (F.col("times") == 1)
     alone = marked.join(chosen.where(single).select(*key), key).select("_row.*")
     # repeats of a picked row: each task of the join reduces its own to one before they meet
-    ordered = F.struct(*[n for n in names if n != "text"], "text")
-    again = marked.join(chosen.where(~single).select(*key, "root"), key).select("root", "_row.*")
-    again = again.groupBy("root").agg(F.min(ordered).alias("_row")).select("_row.*")
-    return alone.unionByName(again)
+    ordered = F.struct(*[F.col(f"_row.`{n}`") for n in names if n != "text"], F.col("_row.text"))
+    again = marked.join(chosen.where(~single).select(*key, "root"), key).select("root", "_row")
+    again = again.groupBy("root").agg(F.min(ordered).alias("_row"))
+    return alone.unionByName(again.select(*[F.col(f"_row.`{n}`") for n in names]))
 
 
 def op3_digest(found: DataFrame) -> DataFrame:

@@ -170,12 +170,12 @@ def threshold_of(keys: DataFrame, name: str, k: int) -> float | None:
 
 
 def _weighed(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """docs with _weight and _key, the weight with its seeded Gumbel noise."""
-    text = F.col("text").cast("string")
-    drawn = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.xxhash64(text))
+    """(row, weight, gumbel_key): whole rows as one value, the weight, and the weight with its seeded Gumbel noise."""
+    text = F.col("row.text").cast("string")
+    drawn = F.xxhash64(F.lit(SEED), F.col("row.doc_id"), F.xxhash64(text))
     uniform = (F.pmod(drawn, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weighed = docs.withColumn("_weight", weigh(text, ratio))
-    return weighed.withColumn("_key", F.col("_weight") - F.log(-F.log(uniform)))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.withColumn("weight", weigh(text, ratio)).withColumn("gumbel_key", F.col("weight") - F.log(-F.log(uniform)))
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, fold: int | None, bound: int) -> tuple[DataFrame, np.ndarray, float | None]:
@@ -185,8 +185,8 @@ def _fitted(docs: DataFrame, labels: DataFrame, fold: int | None, bound: int) ->
     rows = _weighed(docs.select("doc_id", "text"), ratio)
     scored = saved(
         rows.select(
-            "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
-            F.col("_weight").alias("weight"), F.col("_key").alias("gumbel_key"),
+            F.col("row.doc_id").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash"),
+            "weight", "gumbel_key",
         )
     )
     cut = best_cut(scored, sample)
@@ -207,4 +207,4 @@ def score(docs: DataFrame, labels: DataFrame, fold: int | None = None, bound: in
 def keep_good(docs: DataFrame, labels: DataFrame, fold: int | None = None, bound: int = LABELLED) -> DataFrame:
     """The rows that are kept, all columns kept. Weighs the texts once more instead of shuffling them."""
     _, ratio, least = _fitted(docs, labels, fold, bound)
-    return _weighed(docs, ratio).where(_kept("_key", least)).select(*docs.columns)
+    return _weighed(docs, ratio).where(_kept("gumbel_key", least)).select("row.*")

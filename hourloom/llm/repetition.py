@@ -160,5 +160,6 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that pass, all columns kept."""
-    marked = docs.withColumn("_measures", measures(F.col("text")))
-    return marked.where(_verdict(marked, "_measures.")[1]).drop("_measures")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(row, measures(F.col("text")).alias("measures"))
+    return marked.where(_verdict(marked, "measures.")[1]).select("row.*")

@@ -37,12 +37,15 @@ class Rule:
     shortest: int = 0
     group: int = 0
     any_case: bool = False
+    body: str = ""  # extends a match that it follows at once; a match without it stays as it is
 
     @property
     def flags(self) -> int:
         return re.ASCII | (re.IGNORECASE if self.any_case else 0)
 
 
+# what follows the first line of a key, through its last line; dashes inside stand in runs of four at most
+KEY_BODY = r"(?:[^-]|-{1,4}[^-])*-----END [A-Z ]{0,40}PRIVATE KEY-----"
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
     Rule(
@@ -54,7 +57,7 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", shortest=20),
     Rule("hex", r"[0-9a-f]{24,}"),  # the runs of 24 and more among the runs of [0-9a-f]+
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", body=KEY_BODY),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -67,17 +70,18 @@ SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 def _plan(rules: tuple[Rule, ...]):
     queries = [trigram_query(r.pattern, r.flags) for r in rules]
     vocabulary = Vocabulary(set().union(*map(trigrams_in, queries)))
-    return queries, vocabulary, [re.compile(r.pattern, r.flags) for r in rules]
+    bodies = [re.compile(r.body, r.flags) if r.body else None for r in rules]
+    return queries, vocabulary, [re.compile(r.pattern, r.flags) for r in rules], bodies
 
 
 def find_spans(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """For each text its (start, number of the rule, end), ordered."""
-    queries, vocabulary, patterns = _plan(rules)
+    queries, vocabulary, patterns, bodies = _plan(rules)
     result = []
     for raw, offsets in text_slices(texts):
         index = SegmentIndex(LOWER[raw], offsets, vocabulary)
         buffer, spans, decoded = raw.tobytes(), [[] for _ in range(index.size)], {}
-        for k, (rule, query, pattern) in enumerate(zip(rules, queries, patterns)):
+        for k, (rule, query, pattern, body) in enumerate(zip(rules, queries, patterns, bodies)):
             for i in index.candidates(query).tolist():
                 text = decoded.get(i)
                 if text is None:
@@ -86,7 +90,8 @@ def find_spans(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[tu
                         decoded[i] = text
                 for m in pattern.finditer(text):
                     if m.end(rule.group) - m.start(rule.group) >= rule.shortest:
-                        spans[i].append((m.start(), k, m.end()))
+                        more = body.match(text, m.end()) if body else None
+                        spans[i].append((m.start(), k, more.end() if more else m.end()))
         result.extend(sorted(s) for s in spans)
     return result
 

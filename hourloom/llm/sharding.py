@@ -142,25 +142,28 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """docs with shard and slot, all columns kept; equal rows share a key and get its places in some order."""
-    places = assign(docs, shards, rounds).select(
+    """docs with shard and slot, all columns kept; equal rows share a key and get its places in some order.
+
+    Columns of docs named shard and slot are replaced.
+    """
+    assigned = saved(assign(docs, shards, rounds).select("doc_id", "text_hash", "shard", "slot"))
+    places = assigned.select(
         F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"),
         F.coalesce("text_hash", F.lit(0)).alias("_hash"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"),
     )
     key = ["_id", "_none", "_hash"]
     placed = places.withColumn("_i", F.row_number().over(W.partitionBy(*key).orderBy("_shard", "_slot")))
-    marked = docs.withColumns(
-        {
-            "_id": F.coalesce("doc_id", F.lit(0)),
-            "_none": F.col("doc_id").isNull(),
-            "_hash": F.xxhash64(F.col("text").cast("string")),
-        }
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce("doc_id", F.lit(0)).alias("_id"),
+        F.col("doc_id").isNull().alias("_none"),
+        F.xxhash64(F.col("text").cast("string")).alias("_hash"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_order"),
     )
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    marked = marked.withColumn("_i", F.row_number().over(W.partitionBy(*key).orderBy(*others)))
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    marked = marked.withColumn("_i", F.row_number().over(W.partitionBy(*key).orderBy("_order")))
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     joined = marked.join(placed, [*key, "_i"])
-    return joined.select(*names, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    return joined.select(*kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 def op8_digest(placed: DataFrame) -> DataFrame:

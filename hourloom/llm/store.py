@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def local_folder() -> str:
+    """One folder for this process, for local sessions without a setting."""
+    return "file://" + tempfile.mkdtemp(prefix="hourloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir.
 
@@ -18,8 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="hourloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = local_folder()
     return f"{base.rstrip('/')}/hourloom/{uuid.uuid4().hex}"
 
 
