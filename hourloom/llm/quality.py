@@ -2,13 +2,15 @@
 
 Two bag-of-n-gram models are counted: the raw one over all documents, the target one over labelled
 good documents. Tokens are runs of letters and digits, and runs of signs; their single hashes and the
-hashes of neighbours fall into BUCKETS buckets. A document's weight is SCALE times the mean log ratio
-of target to raw over its n-grams and PRIOR neutral ones, so that long and short texts compare and a
-few odd words do not condemn a short text. Each weight gets seeded Gumbel noise and the k greatest
-sums are kept: sampling without replacement in proportion to the exponentials of the weights.
-
-k is the number of documents whose weight passes the cut that best separates the labels of the
-fitting rows. Labels are used up to LABELLED rows, chosen by a hash; all other counts cover every row.
+hashes of neighbours fall into BUCKETS buckets. A document's weight is its log importance: the sum over
+its n-grams of the log ratio of target to raw. Each weight gets seeded Gumbel noise and the k greatest
+sums are kept: sampling without replacement in proportion to the importances, the exponentials of the
+weights.
+
+k is the size of the sample: the number of documents whose weight passes the cut that best separates
+the labels of the fitting rows. Which documents make the k is drawn. Chances follow the importances, so
+documents whose weights differ by a few units change places, and those far above or below the rest
+do not. Labels are used up to LABELLED rows, chosen by a hash; all other counts cover every row.
 Counting adds up inside each task and then per bucket; the model of BUCKETS numbers is what reaches
 the driver. The k-th greatest sum is found by histograms over all rows, without sorting them.
 
@@ -32,8 +34,6 @@ from hourloom.llm.words import BASE, LOWER, SPACE, Words, hash_words, mix, text_
 
 BUCKETS = 1 << 15
 LABELLED = 50_000  # bound on the labelled rows used
-SCALE = 1000.0  # noise then decides among documents that differ by thousandths in the mean
-PRIOR = 20
 SEED = 3
 BINS = 4096
 KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letters and digits, 2 signs
@@ -111,27 +111,27 @@ def fit_ratio(docs: DataFrame, sample: DataFrame) -> np.ndarray:
 
 
 def weigh(text: Column, ratio: np.ndarray) -> Column:
-    """SCALE times the smoothed mean log ratio of a text; null without tokens."""
+    """The log importance of a text, a sum over its n-grams; null without tokens."""
 
-    def mean_ratio(texts: pa.Array) -> pa.Array:
+    def log_importance(texts: pa.Array) -> pa.Array:
         out = []
         for grams, owner, n in ngram_buckets(texts):
             count = np.bincount(owner, minlength=n)
             total = np.bincount(owner, ratio[grams].astype(np.float64), minlength=n)
-            out.append(pa.array(SCALE * total / (count + PRIOR), pa.float64(), mask=count == 0))
+            out.append(pa.array(total, pa.float64(), mask=count == 0))
         return pa.concat_arrays(out) if out else pa.array([], pa.float64())
 
-    return F.arrow_udf(mean_ratio, "double")(text.cast("string"))
+    return F.arrow_udf(log_importance, "double")(text.cast("string"))
 
 
 def best_cut(scored: DataFrame, sample: DataFrame) -> float | None:
     """The weight that separates good from bad labelled rows with the greatest sum of both rates."""
     found = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled"))
-    step = F.floor("weight").cast("bigint")  # weights lie within some tens of SCALE
+    step = F.floor("weight").cast("bigint")
     table = found.where(F.col("weight").isNotNull()).groupBy(step.alias("step")).agg(
         F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.count(F.lit(1)).alias("n")
     )
-    rows = sorted((r["step"], r["good"], r["n"] - r["good"]) for r in table.collect())  # steps of the weight's range
+    rows = sorted((r["step"], r["good"], r["n"] - r["good"]) for r in table.collect())  # at most one per labelled row
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
         return None
@@ -169,20 +169,25 @@ def threshold_of(keys: DataFrame, name: str, k: int) -> float | None:
             above += row["n"]
 
 
-def _weighed(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+def gumbel_key(weight: Column, drawn: Column) -> Column:
+    """The weight plus standard Gumbel noise made from a 64-bit hash."""
+    uniform = (F.pmod(drawn, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return weight - F.log(-F.log(uniform))
+
+
+def _weighed(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
     """(row, weight, gumbel_key): whole rows as one value, the weight, and the weight with its seeded Gumbel noise."""
     text = F.col("row.text").cast("string")
-    drawn = F.xxhash64(F.lit(SEED), F.col("row.doc_id"), F.xxhash64(text))
-    uniform = (F.pmod(drawn, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = F.xxhash64(F.lit(seed), F.col("row.doc_id"), F.xxhash64(text))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return packed.withColumn("weight", weigh(text, ratio)).withColumn("gumbel_key", F.col("weight") - F.log(-F.log(uniform)))
+    return packed.withColumn("weight", weigh(text, ratio)).withColumn("gumbel_key", gumbel_key(F.col("weight"), drawn))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, fold: int | None, bound: int) -> tuple[DataFrame, np.ndarray, float | None]:
+def _fitted(docs: DataFrame, labels: DataFrame, fold: int | None, bound: int, seed: int) -> tuple[DataFrame, np.ndarray, float | None]:
     """(doc_id, text_hash, weight, gumbel_key) of every row, the model, and the least key that is kept."""
     sample = saved(labelled_sample(labels, bound, fold))
     ratio = fit_ratio(docs, sample)
-    rows = _weighed(docs.select("doc_id", "text"), ratio)
+    rows = _weighed(docs.select("doc_id", "text"), ratio, seed)
     scored = saved(
         rows.select(
             F.col("row.doc_id").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash"),
@@ -198,13 +203,13 @@ def _kept(key: str, least: float | None) -> Column:
     return F.lit(False) if least is None else F.coalesce(F.col(key) >= least, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, fold: int | None = None, bound: int = LABELLED) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, fold: int | None = None, bound: int = LABELLED, seed: int = SEED) -> DataFrame:
     """One row per document row: doc_id, text_hash, weight, gumbel_key, kept."""
-    scored, _, least = _fitted(docs, labels, fold, bound)
+    scored, _, least = _fitted(docs, labels, fold, bound, seed)
     return scored.withColumn("kept", _kept("gumbel_key", least))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, fold: int | None = None, bound: int = LABELLED) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, fold: int | None = None, bound: int = LABELLED, seed: int = SEED) -> DataFrame:
     """The rows that are kept, all columns kept. Weighs the texts once more instead of shuffling them."""
-    _, ratio, least = _fitted(docs, labels, fold, bound)
-    return _weighed(docs, ratio).where(_kept("gumbel_key", least)).select("row.*")
+    _, ratio, least = _fitted(docs, labels, fold, bound, seed)
+    return _weighed(docs, ratio, seed).where(_kept("gumbel_key", least)).select("row.*")

@@ -3,10 +3,14 @@
 Built from DataFrame functions only. Rows with equal texts are linked. Every group of linked rows
 starts spread over the shards by a hash of doc_id; the state of the propagation is one count per
 (group, shard), never rows or links. In each round a group looks at its neighbours' shards and wants
-its rows in the shard that holds most of them among those with room. Demand and room meet per shard:
-if more rows want in than the quota leaves, every mover gets the same share of the room, rounded up
-or down by a seeded hash, so that single rows move too and the quota holds on average. Rounds end
-when nothing moves or after ROUNDS; the cut at the end holds the quotas exactly.
+its rows in the shard that holds most of them, unless the group nearly fills that shard. Demand is
+added up per pair of shards. A mover out frees a place in, so the flows between shards may exceed the
+free room as far as they cancel: full shards exchange rows, in pairs or along longer cycles. What is
+still in want of a place is exchanged for small groups that lie in the wanted shard as a whole and
+lose nothing by moving. Every mover of a pair of shards gets the same chance, drawn by a seeded hash,
+so that single rows move too and the quota holds on average. A group never comes into more shards
+than it has. Rounds end when less than a thousandth of the linked rows can move; the order at the end
+holds the quotas exactly.
 
 The law is `rows`: counts differ by one at most. Rows without a partner fill what is left. All rows
 are then put in one order - by wanted shard, linked rows first, group by group - and cut at exact
@@ -30,7 +34,7 @@ from hourloom.llm.order import numbered
 from hourloom.llm.store import saved
 
 SHARDS = 16
-ROUNDS = 8
+ROUNDS = 60  # a bound; rounds end when hardly a row can move
 GROUP_BUCKETS = 256
 ROW_BUCKETS = 64
 SEED = 5
@@ -46,33 +50,88 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
+def flows(wants: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], float]:
+    """Rows that may go from shard to shard: at most those that want to, and into no shard more than room and leavers.
+
+    Starts with all demand and lowers what enters an overfull shard until all shards fit. Works on one number per
+    pair of shards. Negative room (more rows than the quota) counts as none: such a shard still exchanges rows.
+    """
+    flow = {pair: float(n) for pair, n in wants.items()}
+    for _ in range(1000):
+        leaving, entering = [0.0] * len(room), [0.0] * len(room)
+        for (a, b), n in flow.items():
+            leaving[a] += n
+            entering[b] += n
+        fits = [max(0, r) + x for r, x in zip(room, leaving)]
+        if all(e <= f + 1e-3 for e, f in zip(entering, fits)):
+            break
+        flow = {(a, b): n * min(1.0, fits[b] / entering[b]) if entering[b] else 0.0 for (a, b), n in flow.items()}
+    return flow
+
+
+def exchanges(
+    wants: dict[tuple[int, int], int], flow: dict[tuple[int, int], float], whole: dict[int, int]
+) -> dict[tuple[int, int], float]:
+    """Rows of whole groups that go from b to a, so that as many may come from a to b beyond the flow."""
+    missing = {pair: max(0.0, n - flow[pair]) for pair, n in wants.items()}
+    into: dict[int, float] = {}
+    for (_, b), n in missing.items():
+        into[b] = into.get(b, 0.0) + n
+    return {(b, a): n * min(1.0, whole.get(b, 0) / into[b]) for (a, b), n in missing.items() if into[b]}
+
+
+def _where_to(out: dict[tuple[int, int], float], whole: dict[int, int], shards: int, drawn: Column) -> Column:
+    """The shard that a whole group moves to, null if it stays: bounds on the draw by shard, one per pair."""
+    bounds = []
+    for a in range(shards):
+        at, row = 0.0, []
+        for b in range(shards):
+            at += out.get((a, b), 0.0) / whole[a] if whole.get(a) else 0.0
+            row.append(F.struct(F.lit(at).alias("upto"), F.lit(b).alias("to")))
+        bounds.append(F.array(*row))
+    mine = F.element_at(F.array(*bounds), F.col("shard").cast("int") + 1)
+    return F.get(F.filter(mine, lambda x: drawn < x["upto"]), F.lit(0))["to"]
+
+
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Move the counts n of (grp, shard) towards the fullest shards of their groups; shards grow to their quotas."""
+    """Move the counts n of (grp, shard) towards the fullest shards of their groups; loads stay near the quotas."""
     shards = len(quotas)
+    in_group = W.partitionBy("grp")  # one row per shard at most
     for step in range(rounds):
-        loads = _loads(cells, shards)
-        room = [max(0, q - x) for q, x in zip(quotas, loads)]
-        in_group = W.partitionBy("grp")  # one row per shard at most
-        # the fullest shard; one without room can be kept but not joined, so it counts for its own rows only
-        open_shard = _by_shard(room, F.col("shard")) > 0
         tie = F.xxhash64("grp", "shard", F.lit(step))
-        best = F.max(F.when(open_shard, F.struct("n", tie.alias("tie"), "shard"))).over(in_group)
-        wanting = cells.withColumn("best", best["shard"]).withColumn("most", best["n"])
-        moves = F.col("best").isNotNull() & (F.col("best") != F.col("shard")) & (F.col("n") <= F.col("most"))
-        wanting = wanting.withColumn("to", F.when(moves, F.col("best"))).drop("best", "most")
-        asked = wanting.where(F.col("to").isNotNull()).groupBy("to").agg(F.sum("n").alias("n")).collect()  # one per shard
-        if not asked:
+        # a shard that the group fills but for an eighth can be kept but not joined: it has hardly a place to give
+        takes = 8 * F.col("n") < 7 * _by_shard(quotas, F.col("shard"))
+        best = F.max(F.when(takes, F.struct("n", tie.alias("tie"), "shard"))).over(in_group)["shard"]
+        wanting = cells.withColumn("best", best).withColumn("_cells", F.count(F.lit(1)).over(in_group))
+        moves = takes & (F.col("best") != F.col("shard"))
+        light = F.col("n") * shards <= _by_shard(quotas, F.col("shard"))
+        wanting = wanting.select(
+            "grp", "shard", "n", F.when(moves, F.col("best")).alias("to"), ((F.col("_cells") == 1) & light).alias("_whole")
+        )
+        table = wanting.groupBy("shard", "to", "_whole").agg(F.sum("n").alias("n")).collect()  # two per pair of shards
+        loads, whole, wants = [0] * shards, {}, {}
+        for r in table:
+            loads[r["shard"]] += r["n"]
+            if r["_whole"]:
+                whole[r["shard"]] = r["n"]
+            elif r["to"] is not None:
+                wants[r["shard"], r["to"]] = wants.get((r["shard"], r["to"]), 0) + r["n"]
+        flow = flows(wants, [q - x for q, x in zip(quotas, loads)])
+        out = exchanges(wants, flow, whole)
+        going = {(a, b): n + out.get((b, a), 0.0) for (a, b), n in flow.items()}
+        if 1000 * sum(going.values()) < max(1000, sum(loads)):
             break
-        wants = {r["to"]: r["n"] for r in asked}
-        shares = [min(1.0, room[s] / wants[s]) if wants.get(s) else 0.0 for s in range(shards)]
-        share = F.element_at(F.array(*map(F.lit, shares)), F.col("to").cast("int") + 1)
+        chances = [going.get((a, b), 0.0) / wants.get((a, b), 1) for a in range(shards) for b in range(shards)]
+        pair = (F.col("shard") * shards + F.col("to")).cast("int") + 1
+        chance = F.element_at(F.array(*map(F.lit, chances)), pair)
         drawn = F.pmod(F.xxhash64(F.lit(step), "shard", "grp"), F.lit(1 << 20)) / float(1 << 20)
-        moved = F.when(F.col("to").isNotNull(), F.least("n", F.floor(F.col("n") * share + drawn))).otherwise(0)
-        split = wanting.withColumn("_moved", moved)
+        to = F.when(F.col("_whole"), _where_to(out, whole, shards, drawn)).otherwise(F.col("to"))
+        part = F.when(F.col("_whole"), F.col("n")).otherwise(F.least("n", F.floor(F.col("n") * chance + drawn)))
+        split = wanting.withColumn("_moved", part).withColumn("to", to)
+        split = split.withColumn("_moved", F.when(F.col("to").isNull(), 0).otherwise(F.col("_moved")))
         stay = split.select("grp", "shard", (F.col("n") - F.col("_moved")).alias("n"))
         come = split.where(F.col("_moved") > 0).select("grp", F.col("to").alias("shard"), F.col("_moved").alias("n"))
-        after = stay.unionByName(come).where(F.col("n") > 0).groupBy("grp", "shard").agg(F.sum("n").alias("n"))
-        cells = saved(after)
+        cells = saved(stay.unionByName(come).where(F.col("n") > 0).groupBy("grp", "shard").agg(F.sum("n").alias("n")))
     return cells
 
 

@@ -7,14 +7,17 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from llm_fixtures import SF, WORDS, frame, prose
+from pyspark.sql import functions as F
 
 from hourloom.llm import queries
+from hourloom.llm.quality import BUCKETS, gumbel_key, threshold_of
 from hourloom.llm.quality import keep_good as keep_quality
 from hourloom.llm.quality import score as quality_score
-from hourloom.llm.quality import threshold_of
 from hourloom.llm.repetition import keep_good as keep_unrepetitive
 from hourloom.llm.repetition import measure
 from hourloom.llm.secrets import RULES, find_spans, op2_digest, redact, scan
@@ -167,6 +170,39 @@ def test_quality_edges(spark, edge_docs, no_docs):
     assert keep_quality(edge_docs, labels).columns == edge_docs.columns
 
 
+def test_weights_equal_brute_force(spark):
+    texts = ["Good words, good things!", "bad; bad; bad", "Ünï 中文 good", "", None, "a1 b2 -- c3 " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id bigint, quality int")
+
+    def grams(text):
+        tokens = regex.findall(r"[0-9a-z\u0080-\U0010ffff]+|[^0-9a-z\u0080-\U0010ffff\s]+", regex.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return tokens + list(zip(tokens, tokens[1:]))
+
+    raw, target = Counter(), Counter()
+    for i, text in enumerate(texts):
+        raw.update(grams(text))
+        target.update(grams(text) if i in (0, 2) else [])
+    rest, of_raw, of_target = BUCKETS, sum(raw.values()), sum(target.values())
+    wanted = [
+        sum(np.log((target[g] + 1) / (of_target + rest)) - np.log((raw[g] + 1) / (of_raw + rest)) for g in grams(t)) if grams(t) else None
+        for t in texts
+    ]
+    got = [r["weight"] for r in quality_score(docs, labels).orderBy("doc_id").collect()]
+    assert got == [None if w is None else pytest.approx(w, abs=1e-4) for w in wanted]
+
+
+def test_samples_follow_the_importances(spark):
+    # one of four is kept, over many seeds: the chance of each is its share of the importances
+    weights = [0.0, 1.0, -1.0, 2.0]
+    n = 8000
+    rows = spark.range(n).selectExpr("id AS seed", f"explode(array({', '.join(f'{w}D' for w in weights)})) AS weight")
+    keyed = rows.withColumn("key", gumbel_key(F.col("weight"), F.xxhash64("seed", "weight")))
+    first = keyed.groupBy("seed").agg(F.max_by("weight", "key").alias("weight")).groupBy("weight").count().collect()
+    shares = np.exp(weights) / np.exp(weights).sum()
+    assert {r["weight"]: r["count"] / n for r in first} == {w: pytest.approx(s, abs=0.025) for w, s in zip(weights, shares)}
+
+
 def test_threshold_is_the_kth_greatest(spark):
     values = [1.0, 1.0, 5.0, -3.0, 1e-9, 1e300, 2.5, None]
     keys = spark.createDataFrame([(v,) for v in values], "k double")

@@ -18,7 +18,7 @@ from hourloom.llm.components import components
 from hourloom.llm.decontaminate import contamination, op1_digest, remove_documents, remove_spans
 from hourloom.llm.mixing import closest_subset, fit_lengths, mix, plan
 from hourloom.llm.neardup import drop_near_duplicates, near_duplicates, registers_of
-from hourloom.llm.sharding import assign, shard_rows
+from hourloom.llm.sharding import assign, exchanges, flows, shard_rows
 from hourloom.llm.token_records import Encoder, frame as framed, read_digests, read_frame, read_shuffled, write_records
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +168,11 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {**{f"{i:03d}": "000" for i in range(1, 41)}, "y": "x"}
     assert components(links.limit(0)).count() == 0
+    # a hub with many neighbours, half of which have a chain of their own
+    hub = [(0, i) for i in range(1, 3000)] + [(i, i + 10_000) for i in range(1, 1500)] + [(i + 10_000, i + 20_000) for i in range(1, 700)]
+    apart = [(50_000, 50_001), (50_002, 50_001)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(hub + apart, "a bigint, b bigint")).collect()}
+    assert got == {**{x: 0 for link in hub for x in link if x}, 50_001: 50_000, 50_002: 50_000}
 
 
 # --- token records -------------------------------------------------------------------------------------
@@ -293,6 +298,29 @@ def test_sharding(spark, edge_docs, no_docs):
     assert assign(no_docs).count() == 0 and shard_rows(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("copies,hot", [(2, 0), (4, 0), (2, 1100)])
+def test_groups_meet_in_full_shards(spark, copies, hot):
+    texts = ["hot"] * hot + [f"text {i // copies}" for i in range(3200 - hot)]
+    rows = assign(frame(spark, texts)).collect()
+    check_shards(rows, len(texts))
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r["doc_id"]]].add(r["shard"])
+    assert sum(len(v) > 1 for t, v in where.items() if t != "hot") <= 0.01 * len(where)
+    assert len(where["hot"]) <= 12  # 1100 rows need six shards of 200; the hash alone spreads them over all 16
+
+
+def test_flows_fit():
+    wants = {(0, 1): 10, (1, 2): 4, (2, 0): 7, (2, 1): 5, (3, 0): 9}
+    flow = flows(wants, [0, 0, 0, -3])
+    leaving = [sum(n for (a, _), n in flow.items() if a == s) for s in range(4)]
+    entering = [sum(n for (_, b), n in flow.items() if b == s) for s in range(4)]
+    assert all(0 <= flow[p] <= wants[p] for p in wants) and all(e <= x + 0.01 for e, x in zip(entering[:3], leaving))
+    assert flow[1, 2] > 3.5 and flows({(0, 1): 5}, [0, 2])[0, 1] == pytest.approx(2)
+    out = exchanges(wants, flow, {0: 100, 1: 2})
+    assert out[0, 3] == pytest.approx(wants[3, 0] - flow[3, 0]) and sum(n for (b, _), n in out.items() if b == 1) <= 2.001
+
+
 # --- mixing --------------------------------------------------------------------------------------------
 
 
