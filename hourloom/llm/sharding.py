@@ -54,7 +54,8 @@ def flows(wants: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int,
     """Rows that may go from shard to shard: at most those that want to, and into no shard more than room and leavers.
 
     Starts with all demand and lowers what enters an overfull shard until all shards fit. Works on one number per
-    pair of shards. Negative room (more rows than the quota) counts as none: such a shard still exchanges rows.
+    pair of shards. The result fits but need not be the greatest: leavers of a shard that nobody enters take up places
+    of a cycle until little of it is left, and exchanges make up for that. Negative room (more rows than the quota) counts as none: such a shard still exchanges rows.
     """
     flow = {pair: float(n) for pair, n in wants.items()}
     for _ in range(1000):
