@@ -13,7 +13,8 @@ a successful task reports stand in the manifest, so repeated or lost attempts le
 in it. Texts, ids and records are handled batch by batch; only the manifest has one row per shard.
 
 Encoding goes through the tokenizers library. For a tokenizer that drops white space and never joins
-across it, each distinct word is encoded once and remembered in a bounded cache.
+across it, each distinct word is encoded once and remembered in a bounded cache; new words are handed
+to the library many at a time, as one text, and take the tokens that start within them.
 
 Defined results. A null or empty text has only the end id. Rows with equal or null doc_id come in
 the order of their text hash, nulls first. Extra columns are ignored. An empty table gives no records.
@@ -26,9 +27,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,6 +45,7 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("n_t
 CACHED_WORDS = 500_000  # twice as many at most are remembered
 READERS = 4096  # most tasks that read shards
 GROUP = 256  # texts encoded at once
+JOINED = 1024  # new words encoded as one text
 MANIFEST = "shard int, records string, index string, n_docs bigint, n_tokens bigint"
 
 
@@ -82,7 +86,7 @@ class Encoder:
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known: dict[bytes, bytes] = {}  # words met lately, and those met before
+        self.known: dict[bytes, bytes] = {b"": b""}  # words met lately, and those met before
         self.old: dict[bytes, bytes] = {}
         self.points = dict(zip(b".,!?", self._encoded([".", ",", "!", "?"]))) if by_word else {}
 
@@ -90,20 +94,32 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are encoded as one text and dealt back by where their tokens start."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.fromiter((start for start, _ in found.offsets), np.int64, len(found))
+        after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # where the next word starts
+        ids, edges = np.array(found.ids, self.kind).tobytes(), [0, *(np.searchsorted(starts, after) * self.width).tolist()]
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
+
     @staticmethod
-    def _words(raw: bytes) -> list[bytes]:
-        """Words between ASCII white space, A-Z lower-cased to meet fewer distinct ones.
+    def _cased(raw: bytes) -> bytes:
+        """A-Z lower-cased to meet fewer distinct words.
 
         Texts with combining marks or control strings keep their case: composing a mark or matching
         a control string comes before lower-casing in the tokenizer.
         """
         plain = b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw
-        return (raw.lower() if plain else raw).split()
+        return raw.lower() if plain else raw
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Put the ids of all words into known. A point after a letter is a token of its own.
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Put the ids of all words into known. A point after a letter is a token of its own."""
+        Words that composing would change or that may hold a control string are encoded one by one,
+        as their offsets may not be those of the joined text.
+        """
         known, old, missing, pointed = self.known, self.old, set(), []
-        for word in words.difference(known):
+        for word in words:
             ids = old.get(word)
             if ids is not None:
                 known[word] = ids
@@ -117,19 +133,34 @@ class Encoder:
                         missing.add(stem)
             else:
                 missing.add(word)
-        new = list(missing)
-        known.update(zip(new, self._encoded([w.decode() for w in new])))
+        joined, alone = [], []
+        for word in missing:
+            text = word.decode()
+            (joined if is_normalized("NFC", text) and "<|" not in text else alone).append((word, text))
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            known.update(zip([w for w, _ in part], self._joined([t for _, t in part])))
+        if alone:
+            known.update(zip([w for w, _ in alone], self._encoded([t for _, t in alone])))
         for word in pointed:
             known[word] = known[word[:-1]] + self.points[word[-1]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Per word: the words between ASCII white space, each distinct one looked up once."""
         if not self.by_word:
             return self._encoded([t.decode() for t in texts])
         if len(self.known) > CACHED_WORDS:
-            self.known, self.old = {}, self.known
-        split = [self._words(t) for t in texts]
-        self._learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known, self.old = {b"": b""}, self.known
+        cased = pa.array([self._cased(t) for t in texts], pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(cased)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in words if w not in self.known])
+        ids = pa.array(list(map(self.known.__getitem__, words)), pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        edges = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist()
+        whole = memoryview(data or b"")
+        return [bytes(whole[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=1)

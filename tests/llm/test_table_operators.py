@@ -199,6 +199,43 @@ def test_word_cache_equals_whole_texts():
         assert got == whole.encode(text, add_special_tokens=False).ids
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode(self, text, **kwargs):
+        self.texts += 1
+        return self.tokenizer.encode(text, **kwargs)
+
+    def encode_batch_fast(self, texts, **kwargs):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **kwargs)
+
+
+def test_new_words_reach_the_tokenizer_as_few_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path(), True)
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdeforstuvz\u00e9\u00df\u0130\u4e2d'.,!$7"))
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 12, 6000)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(200)]
+    texts += ["", " ", "\t\n \x0b\x0c\r ", "  two \r\n words\t", *ODD, "e\u0301 \u0958x \u1100\u1161", "\u3000 \x1c x"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    assert 0 < counted.texts < 40 and len(encoder.known) > 3000  # one by one they would be thousands
+    before = counted.texts
+    assert encoder.encode([t.encode() for t in texts]) == got and counted.texts == before
+    assert encoder.encode([b""]) == [b""] and encoder.encode([]) == []
+    # the cache is dropped in between
+    monkeypatch.setattr("hourloom.llm.token_records.CACHED_WORDS", 100)
+    assert [x for t in texts for x in encoder.encode([t.encode()])] == got
+
+
 def test_records_round_trip(spark, edge_docs, no_docs):
     from tokenizers import Tokenizer
 
